@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,37 +12,51 @@ from pyspark.sql import functions as F
 
 from ._util import batch_of, stash
 
-_tokenizers: dict[str, tuple[object, dict[str, tuple[int, ...]]]] = {}
+_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
 #: Words that a worker remembers with their ids before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 #: Separators to Python's str.split() that the tokenizer doesn't take for white space.
 _ODD = "\x1c\x1d\x1e\x1f"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def encode(texts: list[str | None], tokenizer: str) -> list[list[int]]:
-    """Token ids of each text; null counts as empty. White space always parts pre-tokens, so words are encoded once and remembered."""
+def _raw(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def _learn(words: list[str], model, known: dict[str, bytes]) -> None:
+    """Add the words' ids. Letters that end in ASCII marks are two pre-tokens, which many words share."""
+    split, need = {}, set()
+    for w in words:
+        core = w.rstrip(_MARKS)
+        parts = (core.lower(), w[len(core) :]) if core.isalpha() and "Σ" not in core else (w, "")
+        split[w] = parts
+        need.update(x for x in parts if x and x not in known)
+    new = list(need)
+    for x, enc in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True):
+        known[x] = _raw(enc.ids)
+    for w, (core, marks) in split.items():
+        known[w] = known[core] + known[marks] if marks else known[core]
+
+
+def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
+    """Little-endian token ids of each text; null counts as empty. White space always parts pre-tokens, so words are
+    encoded once and remembered."""
     from tokenizers import Tokenizer
 
     if tokenizer not in _tokenizers:
         _tokenizers[tokenizer] = Tokenizer.from_file(tokenizer), {}
     model, known = _tokenizers[tokenizer]
-    out = []
-    for text in texts:
-        if not text:
-            out.append([])
-            continue
-        if any(c in text for c in _ODD) or "<|" in text:
-            out.append(model.encode(text, add_special_tokens=False).ids)
-            continue
-        words = text.split()
-        if missing := list(set(words).difference(known)):
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                missing = list(set(words))
-            for word, enc in zip(missing, model.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[word] = tuple(enc.ids)
-        out.append(list(chain.from_iterable(map(known.__getitem__, words))))
-    return out
+    split = [None if any(c in x for c in _ODD) or "<|" in x else x.split() for x in (t or "" for t in texts)]
+    distinct: set[str] = set()
+    for words in split:
+        distinct.update(words or ())
+    if missing := distinct.difference(known):
+        if len(known) > CACHED_WORDS:
+            known.clear()
+            missing = distinct
+        _learn(list(missing), model, known)
+    return [_raw(model.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 def tokenise(tokenizer: str, end_id: int, capacity: int):
@@ -54,9 +67,9 @@ def tokenise(tokenizer: str, end_id: int, capacity: int):
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist(), tokenizer), strict=True):
-                ids.append(end_id)
-                raw = memoryview(np.asarray(ids, "<u4")).cast("B")
-                rows += [(doc_id, at, min(capacity, len(ids) - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)]), len(ids)) for at in range(0, len(ids), capacity)]
+                raw = memoryview(ids + _raw([end_id]))
+                n = len(raw) // 4
+                rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(raw[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
             yield batch_of(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True))) if rows else pa.RecordBatch.from_pylist([], schema)
 
     return run
