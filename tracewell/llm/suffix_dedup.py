@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stash(docs.mapInArrow(_find_anchors, "anchor long, doc_id long, text_hash long, block int"), "anchors")
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     blocks = found.join(often, "anchor", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("block").alias("blocks"))
-    left = blocks.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "blocks")
+    left = stash(blocks.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "blocks"), "candidates")
     same = docs["text_hash"].eqNullSafe(left["of_hash"]) & docs["doc_id"].eqNullSafe(left["of"])
     runs = docs.join(left, same).select("doc_id", "text_hash", "text", "blocks").mapInArrow(_runs(merges), "merge int, run binary")
     parts = int(min(merges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), merges // 64)))
