@@ -105,3 +105,18 @@ def test_odd_tables(spark):
     assert L.line_classes(spark.createDataFrame([], DOCS)).collect() == []
     got = L.line_report(L.line_classes(frame(spark, ["same words in a line", "same words in a line", None], [None, 4, 5]))).collect()
     assert {r["doc_id"]: r["removed"] for r in got} == {None: [], 4: [0], 5: []}
+
+
+def test_screened_pairs_are_the_alike_ones():
+    rng = random.Random(9)
+    xs, ys = ["", "short", "a" * 5000, "\ud800 lone surrogate in a line"], ["", "shirt", "a" * 90, "\ud800 lone surrogate in a line"]
+    for _ in range(600):
+        a = "".join(rng.choice("abc ") for _ in range(rng.choice([3, 9, 30, 120])))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            b[rng.randrange(len(b))] = "X"
+        xs.append(a)
+        ys.append("".join(b))
+    sets = [(L.shingles(x), L.shingles(y)) for x, y in zip(xs, ys, strict=True)]
+    assert L.alike(xs, ys) == [k for k, (s, t) in enumerate(sets) if len(s & t) >= L.ALIKE * len(s | t)]
+    assert L.alike([], []) == []

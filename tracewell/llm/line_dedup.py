@@ -33,16 +33,21 @@ def line_id(line: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(texts: list[str]) -> np.ndarray:
-    """One-permutation MinHash, BANDS * ROWS minima a line; empty bins borrow from others in an order that all lines share."""
-    bins = BANDS * ROWS
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of every shingle; lines ascend."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(t) for t in texts])
     ends = np.concatenate([[0], np.cumsum(size)])
     n = np.maximum(size - SHINGLE + 1, 1)
     line = np.repeat(np.arange(len(texts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + ends[line]
-    h = Rolling(codes)(at, np.minimum(at + SHINGLE, ends[line + 1]))
+    return line, Rolling(codes)(at, np.minimum(at + SHINGLE, ends[line + 1]))
+
+
+def signatures(texts: list[str]) -> np.ndarray:
+    """One-permutation MinHash, BANDS * ROWS minima a line; empty bins borrow from others in an order that all lines share."""
+    bins = BANDS * ROWS
+    line, h = shingle_hashes(texts)
     out = np.full(len(texts) * bins, _EMPTY)
     np.minimum.at(out, line * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64), h & np.uint64(0xFFFFFFFF))
     out = out.reshape(-1, bins)
@@ -102,18 +107,38 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, node=list(got), text=list(got.values()))
 
 
+def _hashed_sets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values of a line's number above the upper bits of a shingle's hash, distinct shingles by line)."""
+    line, h = shingle_hashes(texts)
+    keys = np.sort((line.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return keys, np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=len(texts))
+
+
+def alike(xs: list[str], ys: list[str]) -> list[int]:
+    """The places at which the lines of both lists are alike: hashed sets screen the pairs, whole shingles decide."""
+    if not xs:
+        return []
+    bits = len(xs).bit_length()
+    (a, n), (b, m) = _hashed_sets(xs, bits), _hashed_sets(ys, bits)
+    both = np.sort(np.concatenate([a, b]))
+    both = both[1:][both[1:] == both[:-1]]
+    common = np.bincount((both >> np.uint64(64 - bits)).astype(np.int64), minlength=len(xs))
+    near = np.flatnonzero(common >= (ALIKE - 0.01) * (n + m - common))
+    out = []
+    for k in near.tolist():
+        s, t = shingles(xs[k]), shingles(ys[k])
+        size = len(s & t)
+        if size >= ALIKE * (len(s) + len(t) - size):
+            out.append(k)
+    return out
+
+
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in chunks(batches, "text_a"):
-        keep, known = [], ("", set())
-        for k, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-            if y != known[0]:
-                known = y, shingles(y)
-            s, t = shingles(x), known[1]
-            both = len(s & t)
-            if both >= ALIKE * (len(s) + len(t) - both):
-                keep.append(k)
-        yield batch_of(schema, a=batch.column("a").take(pa.array(keep, pa.int64())), b=batch.column("b").take(pa.array(keep, pa.int64())))
+    for batch in chunks(chunks(batches, "text_a"), "text_b"):
+        keep = pa.array(alike(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()), pa.int64())
+        yield batch_of(schema, a=batch.column("a").take(keep), b=batch.column("b").take(keep))
 
 
 def _refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
