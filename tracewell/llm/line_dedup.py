@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import link_all, shared
@@ -141,21 +141,34 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, a=batch.column("a").take(keep), b=batch.column("b").take(keep))
 
 
-def _refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A crowded band joined with each other band of the line: near lines share several."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("size", pa.int32())])
     for batch in chunks(batches):
-        own = band_keys(batch.column("text").to_pylist())
-        crowded = np.array(batch.column("key").to_pylist(), np.int64).view(np.uint64)[:, None]
-        pairs = mix(mix(np.minimum(own, crowded)) + np.maximum(own, crowded))
-        yield batch_of(schema, key=pairs[own != crowded].view(np.int64), node=np.repeat(np.array(batch.column("node").to_pylist(), np.int64), (own != crowded).sum(axis=1)))
+        line, h = shingle_hashes(batch.column("text").to_pylist())
+        order = np.lexsort((h, line))
+        line, h = line[order], h[order]
+        new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
+        line, h = line[new], h[new]
+        yield batch_of(schema, node=batch.column("node").take(pa.array(line)), shingle=h.view(np.int64), size=np.bincount(line)[line].astype(np.int32))
+
+
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """(key, node): the prefix filter. Of each line's n shingles, by how many of the lines have them, the rarest
+    n - ceil(ALIKE * n) + 1: lines that are alike share one of these. Shingles of one line only count, but give no key."""
+    rows = texts.select("node", "text").mapInArrow(_shingle_rows, "node long, shingle long, size int")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("lines", "shingle")) + F.col("size") - F.count(F.lit(1)).over(own)
+    ranked = rows.join(common, "shingle").withColumn("place", place)
+    return ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(ALIKE) - 1e-9) + 1).select(F.col("shingle").alias("key"), "node")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line that isn't blank, and one without a line per document: doc_id, no, line, component, removed.
 
     Lines that are equal but for white space at their ends are one node; MinHash bands propose pairs of nodes, of which
-    those with a Jaccard similarity of SHINGLE-character shingles of ALIKE or more are linked. Of each component the
+    those with a Jaccard similarity of SHINGLE-character shingles of ALIKE or more are linked; where a band is crowded, its
+    lines are compared by the rare shingles that they share, which misses none. Of each component the
     first line by (doc_id, no) stays. A line shorter than SHINGLE is a shingle of its own. Null and blank texts have no
     lines; a null id comes first; rows that repeat an id count as one document; an empty table gives an empty result.
     """
@@ -175,7 +188,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
     def refine(crowded: DataFrame) -> DataFrame:
-        return crowded.join(texts, "node").select("key", "node", "text").mapInArrow(_refine, "key long, node long")
+        return rare_shingles(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
 
     found = link_all(members, verify, refine)
     classed = seen.join(found, seen["line"] == found["id"], "left").select("doc_id", "no", "line", F.coalesce("component", "line").alias("component"))
