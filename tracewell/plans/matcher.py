@@ -3,7 +3,7 @@
 For one binding of processes to roles every ingredient holds during intervals: a requirement for a window after each of
 its events, a threshold for a window after each instant that meets it, a sequence from its last event to a window after
 its first, a process from its start to a window after its exit. The binding matches while all hold at once. It is reported
-when a match begins, and again a window after its last report while it lasts.
+when a match begins, if the last report of its key is a window ago or more; a match that lasts longer is reported once.
 """
 
 from __future__ import annotations
