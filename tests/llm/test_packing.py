@@ -45,6 +45,22 @@ def test_pieces_match_the_tokenizer(spark):
     check(got.collect(), {i: [*model.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)})
 
 
+def test_words_match_the_tokenizer_whatever_their_letters():
+    """Letters that change their number or their kind in normalising and lower-casing, beside marks."""
+    from tokenizers import Tokenizer
+
+    model, rng = Tokenizer.from_file(WORDS), np.random.default_rng(11)
+    letters = [*"abzAZİıßẞΣσςΟŉǰΐﬁʼnÅÅéE", "e\u0301", "I\u0307", "\u0307", "\u1100\u1161", "가", "ʰ", "ª", "中", "\u0345", "𝐀", "Ⅷ", "½", "7"]
+    marks = [*"!'.,-_#(\"", "'s", "'LL", "...", "…", "’", "\u200b", "\xa0", "<|"]
+    texts = ["TEKNİK BİLGİ. SAHİBİ, TÜRKİYE"]
+    for _ in range(4000):
+        word = lambda: "".join(rng.choice(letters, rng.integers(0, 5))) + "".join(rng.choice(marks, rng.integers(0, 3)))
+        texts.append(" ".join(word() + word() for _ in range(rng.integers(1, 5))))
+    want = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b in zip(texts, packing.encode(texts, WORDS), want, strict=True) if a != b]
+    assert not wrong
+
+
 def test_little_padding():
     rng = np.random.default_rng(3)
     lengths = np.minimum(2048, rng.lognormal(6.3, 0.9, 20_000).astype(int) + 1)

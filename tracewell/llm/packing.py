@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -14,7 +15,9 @@ from ._util import batch_of, stash
 
 _tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
 #: Words that a worker remembers with their ids before it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
+#: Pieces of one size class that are ranked together, about.
+GROUP = 100_000
 #: Separators to Python's str.split() that the tokenizer doesn't take for white space.
 _ODD = "\x1c\x1d\x1e\x1f"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -25,11 +28,16 @@ def _raw(ids: list[int]) -> bytes:
 
 
 def _learn(words: list[str], model, known: dict[str, bytes]) -> None:
-    """Add the words' ids. Letters that end in ASCII marks are two pre-tokens, which many words share."""
+    """Add the words' ids. Letters that end in ASCII marks are two pre-tokens, which many words share.
+
+    The tokenizer normalises and lower-cases before it parts letters from marks, so what is left of the marks must still be
+    letters only after that (a dotted capital I isn't: it ends in a combining mark, which goes with the marks).
+    """
     split, need = {}, set()
     for w in words:
         core = w.rstrip(_MARKS)
-        parts = (core.lower(), w[len(core) :]) if core.isalpha() and "Σ" not in core else (w, "")
+        low = unicodedata.normalize("NFC", core).lower() if core else core
+        parts = (low, w[len(core) :]) if low.isalpha() and "Σ" not in core else (w, "")
         split[w] = parts
         need.update(x for x in parts if x and x not in known)
     new = list(need)
@@ -52,7 +60,7 @@ def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
     for words in split:
         distinct.update(words or ())
     if missing := distinct.difference(known):
-        if len(known) > CACHED_WORDS:
+        if len(known) + len(missing) > CACHED_WORDS:
             known.clear()
             missing = distinct
         _learn(list(missing), model, known)
@@ -205,20 +213,22 @@ def size_class(length, exact: int = 64, step: int = 4):
     return F.when(length <= exact, length).otherwise(F.ceil(length / step) * step).cast("long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are tokenised once and cut only at every ``capacity`` ids. The linear program sees the histogram of piece
     lengths (at most ``exact + capacity / step`` classes, so what the driver collects, solves and broadcasts is bounded by
-    ``capacity``, not by the input); pieces are ranked within their class in salted groups, and ranks address pattern, copy
-    and slot. A null or empty text is one piece that holds only ``end_id``; equal texts are packed separately; null ids are
+    ``capacity``, not by the input); pieces are ranked within their class in salted groups of about GROUP pieces, and ranks
+    address pattern, copy and slot. A null or empty text is one piece that holds only ``end_id``; equal texts are packed separately; null ids are
     kept; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     pieces = stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tokenise(tokenizer, end_id, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
-    pieces = pieces.withColumn("size", size_class(F.col("length"))).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    pieces = pieces.withColumn("size", size_class(F.col("length")))
+    histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = spark.createDataFrame([(s, n // GROUP + 1) for s, n in histogram.items()], "size long, salts long")
+    pieces = pieces.join(F.broadcast(salts), "size").withColumn("salt", F.expr("pmod(xxhash64(doc_id, start), salts)")).drop("salts")
     counts = stash(pieces.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     rows, taken, sequence = [], dict.fromkeys(histogram, 0), 0
     for times, has in plan(histogram, capacity):
         slot = 0
