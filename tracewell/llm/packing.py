@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -11,60 +12,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import batch_of, stash
+from ._util import CHUNK_BYTES, batch_of, stash
 
 _tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
-#: Words that a worker remembers with their ids before it starts anew.
-CACHED_WORDS = 250_000
+#: Pre-tokens that a worker remembers with their ids before it starts anew.
+CACHED_WORDS = 500_000
 #: Pieces of one size class that are ranked together, about.
 GROUP = 100_000
-#: Separators to Python's str.split() that the tokenizer doesn't take for white space.
-_ODD = "\x1c\x1d\x1e\x1f"
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Texts of characters below this one are parted here; others, whose classes depend on the Unicode version, by the tokenizer.
+PLAIN = 0x250
+_ODD = re.compile(f"[\x1c-\x1f\x85{chr(PLAIN)}-\U0010ffff]|<\\|")
 
 
-def _raw(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == kind)
 
 
-def _learn(words: list[str], model, known: dict[str, bytes]) -> None:
-    """Add the words' ids. Letters that end in ASCII marks are two pre-tokens, which many words share.
+#: The tokenizer's own parting of a lower-cased text; a combining dot is what a dotted capital I leaves behind.
+_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
 
-    The tokenizer normalises and lower-cases before it parts letters from marks, so what is left of the marks must still be
-    letters only after that (a dotted capital I isn't: it ends in a combining mark, which goes with the marks).
-    """
-    split, need = {}, set()
-    for w in words:
-        core = w.rstrip(_MARKS)
-        low = unicodedata.normalize("NFC", core).lower() if core else core
-        parts = (low, w[len(core) :]) if low.isalpha() and "Σ" not in core else (w, "")
-        split[w] = parts
-        need.update(x for x in parts if x and x not in known)
-    new = list(need)
-    for x, enc in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True):
-        known[x] = _raw(enc.ids)
-    for w, (core, marks) in split.items():
-        known[w] = known[core] + known[marks] if marks else known[core]
+
+def _raw(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
-    """Little-endian token ids of each text; null counts as empty. White space always parts pre-tokens, so words are
-    encoded once and remembered."""
+    """Little-endian token ids of each text; null counts as empty.
+
+    The text is normalised, lower-cased and parted as the tokenizer does it, in this order; distinct pre-tokens are encoded
+    once and remembered.
+    """
     from tokenizers import Tokenizer
 
     if tokenizer not in _tokenizers:
         _tokenizers[tokenizer] = Tokenizer.from_file(tokenizer), {}
     model, known = _tokenizers[tokenizer]
-    split = [None if any(c in x for c in _ODD) or "<|" in x else x.split() for x in (t or "" for t in texts)]
-    distinct: set[str] = set()
-    for words in split:
-        distinct.update(words or ())
-    if missing := distinct.difference(known):
+    out: list[bytes | None] = [None] * len(texts)
+    for group in _groups(texts):
+        split = {k: _PARTS.findall(unicodedata.normalize("NFC", texts[k]).lower()) for k in group if not _ODD.search(texts[k])}
+        distinct: set[str] = set()
+        for words in split.values():
+            distinct.update(words)
+        missing = distinct.difference(known)
         if len(known) + len(missing) > CACHED_WORDS:
             known.clear()
             missing = distinct
-        _learn(list(missing), model, known)
-    return [_raw(model.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        new = list(missing)
+        known.update((x, _raw(enc.ids)) for x, enc in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        for k in group:
+            out[k] = b"".join(map(known.__getitem__, split[k])) if k in split else _raw(model.encode(texts[k], add_special_tokens=False).ids)
+    return [x or b"" for x in out]
+
+
+def _groups(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[list[int]]:
+    """Numbers of the texts that have any, as many at a time as hold ``limit`` characters; a longer text is alone."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        if not t:
+            continue
+        if group and size + len(t) > limit:
+            yield group
+            group, size = [], 0
+        group.append(k)
+        size += len(t)
+    if group:
+        yield group
 
 
 def tokenise(tokenizer: str, end_id: int, capacity: int):
