@@ -5,8 +5,11 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.llm.data import DOCS, awkward, frame
 from tracewell.llm import jaccard as J
+from tracewell.llm._graph import prefix_pairs, rare_features
 
 
 def shingles(text):
@@ -60,7 +63,7 @@ def test_components_match_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == brute(list(zip(ids, texts, strict=True)))
 
 
-def test_linked_sets_always_share_two_keys_or_one_enumerated():
+def test_linked_sets_always_share_a_key():
     rng = np.random.default_rng(4)
     for _ in range(1500):
         n = int(rng.choice([4, 5, 7, 9, 12, 18, 23, 40, 100, 300, 1200]) * rng.uniform(1, 1.25))
@@ -72,8 +75,7 @@ def test_linked_sets_always_share_two_keys_or_one_enumerated():
             continue
         meet = []
         for number in {J.band_of(len(x)), J.band_of(len(x)) + 1} & {J.band_of(len(y)), J.band_of(len(y)) + 1}:
-            least = 1 if J.scheme(number)[0] in J.ENUMERATED else 2
-            meet.append(len(np.intersect1d(J.signatures(x, number), J.signatures(y, number))) >= least)
+            meet.append(len(np.intersect1d(J.signatures(x, number), J.signatures(y, number))) >= 1)
         assert any(meet), (len(x), len(y), both)
 
 
@@ -91,6 +93,40 @@ def test_crowded_keys_are_refined_and_hot_groups_stay_whole(spark):
     assert sorted(map(tuple, got.collect())) == brute(list(enumerate(texts)))
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(600):
+        n = int(rng.choice([1, 3, 60, 64, 65, 130, 500]) * rng.uniform(1, 1.3))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[int(rng.integers(0, n // 2 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        assert J.differing(J.bitmap(x), J.bitmap(y)) <= len(x) + len(y) - 2 * both
+    z = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    other = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    assert J.differing(J.bitmap(z), J.bitmap(other)) > 150 and J.differing(J.bitmap(z), J.bitmap(z)) == 0
+
+
+def test_prefix_pairs_hold_all_links_and_little_else(spark):
+    rng = random.Random(21)
+    sets = {}
+    for n in (5, 17, 40, 41, 90):
+        base = rng.sample(range(3000), n)
+        for _ in range(25):
+            own = set(base) - set(rng.sample(base, rng.randint(0, n // 6))) | {rng.randrange(3000) for _ in range(rng.randint(0, n // 6))}
+            sets[len(sets)] = own | set(range(5000, 5000 + rng.choice([0, 3])))
+    rows = spark.createDataFrame([(k, f, len(s)) for k, s in sets.items() for f in s], "node long, feature long, size int")
+    rare = rare_features(rows, J.SHARE).withColumn("component", F.col("node"))
+    got = {(r["a"], r["b"]) for r in prefix_pairs(rare, J.SHARE).collect()}
+    want = {(a, b) for a in sets for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert want <= got and len(want) > 30 and len(got) < len(sets) * (len(sets) - 1) / 10
+
+
+def test_repeated_null_ids(spark):
+    texts = ["one two three four five six seven eight nine ten eleven twelve"] * 30 + [f"a{i} " * 30 + "x y z w v" for i in range(20)] * 2
+    got = J.jaccard_join(frame(spark, texts, [None] * len(texts)).repartition(3)).collect()
+    assert len(got) == len(texts) and {r["component_id"] for r in got} == {None}
+
+
 def test_odd_tables(spark):
     assert J.jaccard_join(spark.createDataFrame([], DOCS)).collect() == []
     got = J.jaccard_join(frame(spark, ["a b", "A  b", None, "", "a b"], [3, 3, 7, 8, None])).collect()

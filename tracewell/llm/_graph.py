@@ -62,38 +62,69 @@ def with_component(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def divided(members: DataFrame) -> DataFrame:
-    """(key, node, component, size) of the keys whose members are still in two components or more."""
-    sizes = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high")
-    return members.join(sizes.select("key", "size"), "key")
+    """(key, node, component, size, least) of the keys of three members or more, which are still in two components or more.
+
+    Of two members both are known to be unlinked, as each was compared with the smallest of its key.
+    """
+    sizes = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("low != high and size > 2")
+    return members.join(sizes.select("key", "size", "least"), "key")
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of one key and different components, once; a > b."""
-    other = members.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
+    """(a, b) of one key and different components, once; a > b, and b isn't the smallest of the key."""
+    other = members.filter("node != least").select("key", F.col("node").alias("b"), F.col("component").alias("other"))
     return members.join(other, "key").filter((F.col("node") > F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b").distinct()
 
 
-def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame], small: int = 24) -> DataFrame:
+def rare_features(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(key, node, size, place, low): the features of a set that a prefix filter joins on, from distinct (node, feature, size).
+
+    A set's features are ordered by how many of the sets have them, rarest first. Of two sets whose Jaccard similarity is
+    ``share`` or more, the first common feature lies among the first size - ceil(t * size) + 1 of either, and of the smaller
+    one (column low) even among the first size - ceil(2t / (1 + t) * size) + 1. Features of one set only take places, but
+    give no key.
+    """
+    num, den = share
+    common = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("sets", "feature")) + F.col("size") - F.count(F.lit(1)).over(own)
+    upto = lambda a, b: F.expr(f"size - (size * {a} + {b - 1}) div {b} + 1")
+    ranked = rows.join(common, "feature").withColumn("place", place).filter(F.col("place") <= upto(num, den))
+    return ranked.select(F.col("feature").alias("key"), "node", "size", F.col("place").cast("int").alias("place"), (F.col("place") <= upto(2 * num, num + den)).alias("low"))
+
+
+def prefix_pairs(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b) of different components that may be linked, once: ``rare_features`` with components, joined under the bounds
+    that sizes and places set. A pair that is linked passes at its first common feature."""
+    num, den = share
+    x = members.filter("low").select("key", F.col("node").alias("x"), F.col("size").alias("n"), F.col("place").alias("i"), F.col("component").alias("c"))
+    y = members.select("key", F.col("node").alias("y"), F.col("size").alias("m"), F.col("place").alias("j"), F.col("component").alias("d"))
+    smaller = F.expr("n < m or (n = m and x < y)")
+    near = F.expr(f"n * {den} >= m * {num} and 1 + least(n - i, m - j) >= ((n + m) * {num} + {num + den - 1}) div {num + den}")
+    pairs = x.join(y, "key").filter(smaller & near & (F.col("c") != F.col("d")))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], share: tuple[int, int], small: int = 24) -> DataFrame:
     """The components of all verified pairs that share a key, without pairing off whole groups.
 
     First each member is compared with the smallest of its key. Only keys that still span several components need more:
-    those of up to ``small`` members compare the pairs that cross components; larger ones are first split by ``refine``
-    into finer keys (every link must share one of those, too), and the same is done with them. What is then still divided
-    is compared across components, whatever its size: no link is lost.
+    those of up to ``small`` members compare the pairs that cross components. The members of larger ones are joined on
+    their rarest features (``features`` gives those of nodes) instead, again first with the smallest that shares one and
+    then under the bounds of a prefix filter, which misses no pair of a similarity of ``share`` or more.
     """
-    links, found = None, None
-    for finer in (True, False):
-        new = stash(verify(star_pairs(members)), "verified")
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-        rest = stash(divided(with_component(members, found)), "divided")
-        if rest.isEmpty():
-            return found
-        now = rest.filter(F.col("size") <= small) if finer else rest
-        links = links.unionByName(stash(verify(cross_pairs(now)), "verified"))
-        if finer:
-            large = rest.filter(F.col("size") > small)
-            if large.isEmpty():
-                break
-            members = stash(shared(refine(large.select("key", "node"))), "finer")
-    return components(links)
+    links = stash(verify(star_pairs(members)), "verified")
+    found = components(links)
+    rest = stash(divided(with_component(members, found)), "divided")
+    if rest.isEmpty():
+        return found
+    large = rest.filter(F.col("size") > small).select("node").distinct()
+    rare = stash(rare_features(features(large), share), "rare")
+    apart = lambda: rare.join(found, rare["node"] == found["id"], "left").withColumn("component", F.coalesce("component", "node")).drop("id")
+    mixed = Window.partitionBy("key")
+    stars_left = apart().withColumn("_low", F.min("component").over(mixed)).withColumn("_high", F.max("component").over(mixed)).filter("_low != _high")
+    pairs = cross_pairs(rest.filter(F.col("size") <= small)).unionByName(star_pairs(stars_left)).distinct()
+    links = links.unionByName(stash(verify(pairs), "verified"))
+    found = components(links)
+    last = stash(verify(prefix_pairs(apart(), share)), "verified")
+    return found if last.isEmpty() else components(links.unionByName(last))

@@ -62,7 +62,8 @@ def scheme(number: int) -> tuple[int, int, int]:
     """(k, partitions, spare) for linked sets of bands ``number`` - 1 and ``number``.
 
     k bounds their Hamming distance: |x| + |y| - 2 |x and y| <= (|x| + |y|) / 9 for a Jaccard similarity of 0.8. Beyond
-    ENUMERATED there are k + spare partitions, so linked sets agree in at least ``spare`` of them.
+    ENUMERATED there are k + spare partitions, so linked sets agree in at least ``spare`` of them, and in one with content
+    where either has fewer empty ones.
     """
     sizes = bands(1 << 40)[max(0, number - 1) : number + 1]
     low, first, last = sizes[0][0], sizes[0][1], sizes[-1][1]
@@ -71,7 +72,8 @@ def scheme(number: int) -> tuple[int, int, int]:
     if k in ENUMERATED or k < 1:
         return k, ENUMERATED.get(k, 0), 0
     empty = k * math.exp(-low / k)
-    return k, k + 2 + math.ceil(empty + 4 * math.sqrt(empty)), 2 + math.ceil(empty + 4 * math.sqrt(empty))
+    spare = 1 + math.ceil(empty + 4 * math.sqrt(empty))
+    return k, k + spare, spare
 
 
 def band_of(size: int) -> int:
@@ -81,8 +83,8 @@ def band_of(size: int) -> int:
 def signatures(s: np.ndarray, number: int) -> np.ndarray:
     """The PartEnum signatures of a set under one scheme, as 64-bit keys.
 
-    Single-partition signatures leave out empty partitions, unless the set has so many that two agreeing partitions with
-    content aren't certain; then they are signatures like others.
+    Single-partition signatures leave out empty partitions, unless the set has so many that an agreeing partition with
+    content isn't certain; then they are signatures like others.
     """
     k, parts, spare = scheme(number)
     if k < 1:
@@ -99,7 +101,7 @@ def signatures(s: np.ndarray, number: int) -> np.ndarray:
             keys = mix(keys + j.astype(np.uint64)) ^ content[j]
         return mix(keys + salt)
     full = np.bincount(where.astype(np.int64), minlength=parts) > 0
-    if parts - full.sum() > spare - 2:
+    if parts - full.sum() > spare - 1:
         full[:] = True
     return mix(content[full] + np.flatnonzero(full).astype(np.uint64) * _C + salt)
 
@@ -110,11 +112,30 @@ def all_signatures(s: np.ndarray) -> list[np.ndarray]:
     return [signatures(s, b), signatures(s, b + 1)]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A parity bit by hash for each of about as many bits as the set has shingles. The bits in which two sets differ are no
+    more than the shingles in which they do, and a longer bitmap folds to a shorter one by xor of its halves."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    at = (mix(s + _C) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A lower bound of the Hamming distance of two sets, from their bitmaps."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, n = int.from_bytes(x, "little"), 8 * len(x)
+    while n > 8 * len(y):
+        n //= 2
+        a = (a >> n) ^ (a & ((1 << n) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bits", pa.binary())])
     for batch in chunks(batches):
         sets = shingle_sets(batch.column("text"))
-        yield batch_of(schema, doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets], node=[set_id(s) for s in sets])
+        yield batch_of(schema, doc_id=batch.column("doc_id"), text_hash=batch.column("text_hash"), n_shingles=[len(s) for s in sets], node=[set_id(s) for s in sets], bits=[bitmap(s) for s in sets])
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,18 +147,18 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, key=np.concatenate(keys).view(np.int64), node=np.repeat(np.array(list(own), np.int64), [len(x) for x in keys]))
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of documents joined with the node they stand for, those that have that very set (ids may repeat)."""
-    schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
-    for batch in chunks(batches):
-        keep = [k for k, (s, n) in enumerate(zip(shingle_sets(batch.column("text")), batch.column("node").to_pylist(), strict=True)) if len(s) and set_id(s) == n]
-        yield batch_of(schema, node=batch.column("node").take(pa.array(keep, pa.int64())), text=batch.column("text").cast(pa.string()).take(pa.array(keep, pa.int64())))
+def _screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps allow a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        n, m, x, y = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+        keep = pa.array([k for k in range(len(n)) if differing(x[k], y[k]) * (SHARE[1] + SHARE[0]) <= (n[k] + m[k]) * (SHARE[1] - SHARE[0])], pa.int64())
+        yield batch_of(schema, a=batch.column("a").take(keep), b=batch.column("b").take(keep))
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in chunks(batches, "text_a"):
-        known: dict[int, np.ndarray] = {}
+    for batch in chunks(chunks(batches, "text_a"), "text_b"):
         b = batch.column("b").to_pylist()
         firsts = {n: k for k, n in reversed(list(enumerate(b)))}
         known = dict(zip(firsts, shingle_sets(batch.column("text_b").take(list(firsts.values()))), strict=True))
@@ -149,22 +170,12 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, a=batch.column("a").take(pa.array(keep, pa.int64())), b=batch.column("b").take(pa.array(keep, pa.int64())))
 
 
-def _refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For a member of a crowded key: that key joined with each other key of its scheme; crowded enumerated keys stay."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("node", pa.int64()), ("feature", pa.int64()), ("size", pa.int32())])
     for batch in chunks(batches):
-        keys, nodes = [], []
-        for s, node, crowded in zip(shingle_sets(batch.column("text")), batch.column("node").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            key = np.array([crowded], np.int64).view(np.uint64)[0]
-            for number, own in zip((band_of(len(s)), band_of(len(s)) + 1), all_signatures(s), strict=True):
-                if not (own == key).any():
-                    continue
-                rest = own[own != key]
-                pairs = own[own == key] if scheme(number)[0] in ENUMERATED else mix(mix(np.minimum(rest, key)) + np.maximum(rest, key))
-                keys.append(pairs)
-                nodes.append(np.full(len(pairs), node, np.int64))
-        if keys:
-            yield batch_of(schema, key=np.concatenate(keys).view(np.int64), node=np.concatenate(nodes))
+        sets = shingle_sets(batch.column("text"))
+        n = np.array([len(s) for s in sets], np.int64)
+        yield batch_of(schema, node=batch.column("node").take(pa.array(np.repeat(np.arange(len(n)), n))), feature=np.concatenate(sets).view(np.int64), size=np.repeat(n, n).astype(np.int32))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,29 +183,37 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are runs of other than ``[\\x20\\x09-\\x0D]`` after lower-casing A-Z; a set holds the distinct shingles of WORDS
     words, a shorter text is one shingle. Equal sets are one node, so copies add no pairs. Bands of set sizes turn the
-    threshold into a Hamming distance; PartEnum signatures make all linked nodes share a key, and every link is verified
-    exactly. Null and wordless texts have an empty set and link with nothing. A null id never is a component's id unless
-    all its ids are null; repeated ids keep a row each; an empty table gives an empty result; other columns are ignored.
+    threshold into a Hamming distance; PartEnum signatures make all linked nodes share a key. Members of crowded keys are
+    parted by their rarest shingles, bitmaps then rule out pairs that differ in too much, and every link is verified over
+    whole sets. Shingles are compared by 64-bit hashes throughout. Null and wordless texts have an empty set and link with
+    nothing. A null id never is a component's id unless all its ids are null; repeated ids keep a row each; an empty table
+    gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stash(docs.mapInArrow(_describe, "doc_id long, n_shingles long, node long"), "sets")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    rows = stash(hashed.mapInArrow(_describe, "doc_id long, text_hash long, n_shingles long, node long, bits binary"), "sets")
     members = stash(shared(docs.select("text").mapInArrow(_sign, "key long, node long")), "members")
     wanted = members.select("node").distinct()
-    one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("stand"))
-    stands = one.select("node", "stand")
-    texts = docs.join(stands, docs["doc_id"].eqNullSafe(stands["stand"])).select("node", "text").mapInArrow(_texts, "node long, text string")
+    one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("stand"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    one = stash(one, "nodes")
+    stands = one.select("node", F.col("stand.doc_id").alias("of"), F.col("stand.text_hash").alias("of_hash"))
+    texts = hashed.join(stands, hashed["text_hash"].eqNullSafe(stands["of_hash"]) & hashed["doc_id"].eqNullSafe(stands["of"])).select("node", "text")
     texts = stash(texts.dropDuplicates(["node"]), "texts")
 
+    def sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(of.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in of.columns if c != "node")), side)
+        return pairs
+
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+        near = sides(pairs, one.select("node", "n", "bits")).mapInArrow(_screen, "a long, b long")
+        return sides(near, texts).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    def refine(crowded: DataFrame) -> DataFrame:
-        return crowded.join(texts, "node").select("key", "node", "text").mapInArrow(_refine, "key long, node long")
+    def features(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node", "left_semi").mapInArrow(_features, "node long, feature long, size int")
 
-    found = link_all(members, verify, refine)
+    found = link_all(members, verify, features, SHARE)
     named = rows.join(found, rows["node"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     named = stash(named, "classes")
     # a wordless document is alone, whatever its id

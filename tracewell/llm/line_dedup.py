@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import link_all, shared
@@ -16,7 +16,8 @@ from ._util import batch_of, chunks, small_batches, stash
 
 SHINGLE = 8
 #: Lines are alike from this Jaccard similarity of their shingle sets.
-ALIKE = 0.8
+SHARE = (4, 5)
+ALIKE = SHARE[0] / SHARE[1]
 #: 14 bands of 5 minima: two lines of similarity 0.8 share a band with probability 0.996, of 0.9 with 0.99999.
 BANDS, ROWS = 14, 5
 _EMPTY = np.uint64(1 << 32)
@@ -141,26 +142,15 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, a=batch.column("a").take(keep), b=batch.column("b").take(keep))
 
 
-def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("size", pa.int32())])
+def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("node", pa.int64()), ("feature", pa.int64()), ("size", pa.int32())])
     for batch in chunks(batches):
         line, h = shingle_hashes(batch.column("text").to_pylist())
         order = np.lexsort((h, line))
         line, h = line[order], h[order]
         new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
         line, h = line[new], h[new]
-        yield batch_of(schema, node=batch.column("node").take(pa.array(line)), shingle=h.view(np.int64), size=np.bincount(line)[line].astype(np.int32))
-
-
-def rare_shingles(texts: DataFrame) -> DataFrame:
-    """(key, node): the prefix filter. Of each line's n shingles, by how many of the lines have them, the rarest
-    n - ceil(ALIKE * n) + 1: lines that are alike share one of these. Shingles of one line only count, but give no key."""
-    rows = texts.select("node", "text").mapInArrow(_shingle_rows, "node long, shingle long, size int")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1")
-    own = Window.partitionBy("node")
-    place = F.row_number().over(own.orderBy("lines", "shingle")) + F.col("size") - F.count(F.lit(1)).over(own)
-    ranked = rows.join(common, "shingle").withColumn("place", place)
-    return ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(ALIKE) - 1e-9) + 1).select(F.col("shingle").alias("key"), "node")
+        yield batch_of(schema, node=batch.column("node").take(pa.array(line)), feature=h.view(np.int64), size=np.bincount(line)[line].astype(np.int32))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,10 +177,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    def refine(crowded: DataFrame) -> DataFrame:
-        return rare_shingles(texts.join(crowded.select("node").distinct(), "node", "left_semi"))
+    def features(nodes: DataFrame) -> DataFrame:
+        return texts.join(nodes, "node", "left_semi").mapInArrow(_features, "node long, feature long, size int")
 
-    found = link_all(members, verify, refine)
+    found = link_all(members, verify, features, SHARE)
     classed = seen.join(found, seen["line"] == found["id"], "left").select("doc_id", "no", "line", F.coalesce("component", "line").alias("component"))
     classed = stash(classed, "classes")
     kept = classed.filter("line is not null").groupBy("component").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("size"))
