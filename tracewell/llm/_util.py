@@ -52,6 +52,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy() -> None:
+    """Give what Arrow keeps for reuse back to the system at the end of a task: the worker serves other operators, too."""
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts together hold about ``limit`` bytes; always whole rows."""
     for batch in batches:

@@ -7,14 +7,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import chunks, flat, small_batches
+from ._util import chunks, flat, small_batches, tidy
 
 #: Subwords are runs of so many UTF-8 bytes of the lower-cased text; everything but letters counts as a space.
 ORDERS = (2, 3, 4)
+#: Bytes whose subwords are looked up at a time, however long a text is.
+PIECE = 1 << 17
 #: The prediction for a text that is null or has no letter.
 UNDETERMINED = "und"
 
@@ -40,6 +43,10 @@ def subwords(data: np.ndarray, n: int, buckets: int) -> np.ndarray:
     return (h & np.uint32(buckets - 1)).astype(np.int64)
 
 
+def lower(column: pa.Array) -> pa.Array:
+    return pc.utf8_lower(column.cast(pa.large_string()))
+
+
 @dataclass
 class LanguageModel:
     """``table[bucket, language]`` is the product of embedding and softmax weights, which is all that a prediction needs."""
@@ -53,16 +60,18 @@ class LanguageModel:
     history: list[float] = field(default_factory=list)
 
     def logits(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(logits, number of subwords) of the texts that lie one after another in ``data``."""
+        """(logits, number of subwords) of the texts that lie one after another in ``data``; PIECE bytes are looked up at a time."""
         total, count = np.zeros((len(ends) - 1, len(self.languages))), np.zeros(len(ends) - 1)
         for n in ORDERS:
-            sums = np.zeros((max(1, len(data) - n + 2), len(self.languages)))
-            if len(data) >= n:
-                np.cumsum(self.table[subwords(data, n, len(self.table))], axis=0, out=sums[1:])
-            to = np.minimum(np.maximum(ends[1:] - n + 1, ends[:-1]), len(sums) - 1)
-            start = np.minimum(ends[:-1], to)
-            total += sums[to] - sums[start]
-            count += to - start
+            for lo in range(0, len(data) - n + 1, PIECE):
+                hi = min(lo + PIECE, len(data) - n + 1)
+                sums = np.zeros((hi - lo + 1, len(self.languages)))
+                np.cumsum(self.table[subwords(data[lo : hi + n - 1], n, len(self.table))], axis=0, dtype=np.float64, out=sums[1:])
+                first, last = np.searchsorted(ends, lo, side="right") - 1, np.searchsorted(ends, hi, side="left")
+                start = np.clip(ends[first:last], lo, hi)
+                to = np.clip(ends[first + 1 : last + 1] - n + 1, start, hi)
+                total[first:last] += sums[to - lo] - sums[start - lo]
+                count[first:last] += to - start
         return total / np.maximum(count, 1)[:, None] + self.bias, count
 
     def predict(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +96,7 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 16, dim: int
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0))
     rows = []
     for text in texts:
-        data = np.frombuffer(text.lower().encode(), np.uint8)
+        data = flat(lower(pa.array([text])))[0]
         ids, n = np.unique(np.concatenate([subwords(data, k, buckets) for k in ORDERS if len(data) >= k] or [np.zeros(0, np.int64)]), return_counts=True)
         rows.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     y = np.array([languages.index(x) for x in labels])
@@ -138,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """``docs`` with lang_pred, lang_score (0 to 1) and lang_rejected; columns of these names are replaced.
 
     A text that is null or has no letter gets ``und``, score 0, and is rejected, as is a prediction whose calibrated score
-    is below the model's threshold. Whole texts count, in constant memory a text. A model that saw no label predicts
+    is below the model's threshold. Whole texts count; beside a chunk of texts (the longest one at least), memory is constant. A model that saw no label predicts
     ``und`` throughout. Other columns pass through; equal rows get equal predictions; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
@@ -149,17 +158,17 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in chunks(batches, "_lower"):
+        for batch in chunks(batches, text_col):
             letters = np.array(batch.column("_letters").to_pylist(), bool)
-            best, score = model.predict(*flat(batch.column("_lower"))) if model.languages else (np.zeros(len(letters), int), np.zeros(len(letters)))
+            best, score = model.predict(*flat(lower(batch.column(text_col)))) if model.languages else (np.zeros(len(letters), int), np.zeros(len(letters)))
             known = letters & bool(model.languages)
             score = np.where(known, np.clip(score, 0, 1), 0.0)
             pred = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best, known, strict=True)]
             out = [batch.column(n) for n in names] + [pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < model.threshold))]
             yield pa.RecordBatch.from_arrays(out, [*names, "lang_pred", "lang_score", "lang_rejected"])
+        tidy()
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"_lower": F.lower(text), "_letters": text.rlike(r"\p{L}")}).mapInArrow(run, schema)
+    return docs.withColumn("_letters", F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

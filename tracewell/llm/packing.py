@@ -16,7 +16,7 @@ from ._util import CHUNK_BYTES, batch_of, stash
 
 _tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
 #: Pre-tokens that a worker remembers with their ids before it starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: Pieces of one size class that are ranked together, about.
 GROUP = 100_000
 #: Texts of characters below this one are parted here; others, whose classes depend on the Unicode version, by the tokenizer.
