@@ -17,22 +17,22 @@ def components(links: DataFrame) -> DataFrame:
     until none is left: a logarithmic number of rounds, whose tables are written to the shared folder.
     """
     spark = links.sparkSession
-    left = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
+    left = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", tiny=True)
     found: DataFrame | None = None
     while not left.isEmpty():
-        parents = stash(left.groupBy("a").agg(F.min("b").alias("p")), "parents")
+        parents = stash(left.groupBy("a").agg(F.min("b").alias("p")), "parents", tiny=True)
         while True:
             up = parents.select(F.col("a").alias("q"), F.col("p").alias("pp"))
-            jumped = stash(parents.join(up, F.col("p") == F.col("q"), "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "jumped")
+            jumped = stash(parents.join(up, F.col("p") == F.col("q"), "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "jumped", tiny=True)
             parents = jumped.select("a", "p")
             if jumped.filter("moved").isEmpty():
                 break
         up = parents.select(F.col("a").alias("q"), F.col("p").alias("pp"))
         old = found and found.join(up, F.col("component") == F.col("q"), "left").select("id", F.coalesce("pp", "component").alias("component"))
         now = parents.select(F.col("a").alias("id"), F.col("p").alias("component"))
-        found = stash(old.unionByName(now) if old is not None else now, "components")
+        found = stash(old.unionByName(now) if old is not None else now, "components", tiny=True)
         roots = left.join(parents, "a").select(F.col("p").alias("a"), "b").join(up, F.col("b") == F.col("q"), "left").select("a", F.coalesce("pp", "b").alias("b"))
-        left = stash(roots.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        left = stash(roots.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", tiny=True)
     return found if found is not None else spark.createDataFrame([], "id long, component long")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -27,19 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and survives a lost executor."""
+def stash(df: DataFrame, name: str, tiny: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and survives a lost executor.
+
+    The shuffle files that led to it can go, unless they are ``tiny`` and not worth the wait.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    if not tiny:
+        release(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete what ``stash`` wrote, when nothing that is still to run reads it."""
+    for df in stashed:
+        jvm, path = df.sparkSession.sparkContext._jvm, df.stashed_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does when the driver's garbage is collected.
+
+    The JVM learns of Python's dead objects a moment later, so a single collection would find them still in use.
+    """
+    for pause in (0.2, 0.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._graph import link_all, shared
 from ._hash import Rolling, lower_ascii, mix, ngram, word_spans
-from ._util import batch_of, chunks, flat, small_batches, stash
+from ._util import batch_of, chunks, discard, flat, small_batches, stash
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[0x20] = _INSIDE[0x09:0x0E] = False
@@ -216,6 +216,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = link_all(members, verify, features, SHARE)
     named = rows.join(found, rows["node"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     named = stash(named, "classes")
+    discard(members, one, texts)
     # a wordless document is alone, whatever its id
     least = named.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = named.filter("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id")

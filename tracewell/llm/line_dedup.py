@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._graph import link_all, shared
 from ._hash import Rolling, mix
-from ._util import batch_of, chunks, small_batches, stash
+from ._util import batch_of, chunks, discard, small_batches, stash
 
 SHINGLE = 8
 #: Lines are alike from this Jaccard similarity of their shingle sets.
@@ -183,6 +183,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = link_all(members, verify, features, SHARE)
     classed = seen.join(found, seen["line"] == found["id"], "left").select("doc_id", "no", "line", F.coalesce("component", "line").alias("component"))
     classed = stash(classed, "classes")
+    discard(members, texts, seen)
     kept = classed.filter("line is not null").groupBy("component").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("size"))
     judged = classed.join(kept.filter("size > 1").select("component", "first"), "component", "left")
     removed = F.col("first").isNotNull() & ~F.struct("doc_id", "no").eqNullSafe(F.col("first"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._hash import Rolling
-from ._util import batch_of, chunks, flat, small_batches, stash
+from ._util import batch_of, chunks, discard, flat, small_batches, stash
 
 LENGTH, ANCHOR = 200, 16
 #: Text that one merge handles, about; fixes the number of merges.
@@ -321,10 +321,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     blocks = found.join(often, "anchor", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("block").alias("blocks"))
     left = stash(blocks.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "blocks"), "candidates")
+    discard(found)
     same = docs["text_hash"].eqNullSafe(left["of_hash"]) & docs["doc_id"].eqNullSafe(left["of"])
     runs = docs.join(left, same).select("doc_id", "text_hash", "text", "blocks").mapInArrow(_runs(merges), "merge int, run binary")
     parts = int(min(merges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), merges // 64)))
     ranges = stash(runs.repartition(parts, "merge").sortWithinPartitions("merge").mapInArrow(_merge, "doc_id long, text_hash long, start long, end long"), "ranges")
+    discard(left)
     gone = ranges.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     same = docs["text_hash"].eqNullSafe(gone["of_hash"]) & docs["doc_id"].eqNullSafe(gone["of"])
     return docs.join(gone, same, "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
