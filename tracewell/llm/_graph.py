@@ -22,8 +22,9 @@ def components(links: DataFrame) -> DataFrame:
     while not left.isEmpty():
         parents = stash(left.groupBy("a").agg(F.min("b").alias("p")), "parents", tiny=True)
         while True:
-            up = parents.select(F.col("a").alias("q"), F.col("p").alias("pp"))
-            jumped = stash(parents.join(up, F.col("p") == F.col("q"), "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "jumped", tiny=True)
+            up = lambda k: parents.select(F.col("a").alias(f"q{k}"), F.col("p").alias(f"p{k}"))  # noqa: B023, E731
+            twice = parents.join(up(1), F.col("p") == F.col("q1"), "left").join(up(2), F.col("p1") == F.col("q2"), "left")
+            jumped = stash(twice.select("a", F.coalesce("p2", "p1", "p").alias("p"), F.col("p2").isNotNull().alias("moved")), "jumped", tiny=True)
             parents = jumped.select("a", "p")
             if jumped.filter("moved").isEmpty():
                 break

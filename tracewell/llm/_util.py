@@ -31,12 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str, tiny: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and survives a lost executor.
 
-    The shuffle files that led to it can go, unless they are ``tiny`` and not worth the wait.
+    The shuffle files that led to it can go, unless they are likely ``tiny`` and not worth the wait; such a table also gets
+    files of the advisory size, however few, instead of one for each core.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not tiny:
+    if tiny:
+        df.hint("rebalance").write.parquet(path)
+    else:
+        df.write.parquet(path)
         release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
