@@ -10,7 +10,7 @@ from __future__ import annotations
 EVENT_TYPES = ("PROCESS_START", "PROCESS_EXIT", "PROCESS_EXEC", "PROCESS_SNAPSHOT", "NETWORK_CONNECT", "NETWORK_CLOSE", "FILE_CREATE", "FILE_MODIFY", "FILE_DELETE", "FILE_RENAME", "PERSISTENCE_CHANGE", "DNS_QUERY", "SCRIPT_EXECUTION")
 SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 STATUSES = ("new", "acknowledged", "dismissed")
-PROCESS = {"name": "string", "exe": "string", "cmdline": "string", "user": "string"}
+PROCESS = {"name": "string", "exe": "path", "cmdline": "string", "user": "string"}
 NETWORK = {"remote_addr": "address", "remote_port": "number", "local_port": "number", "protocol": "string", "state": "string", "direction": "string", "result": "string", "bytes_sent": "number", "bytes_received": "number", "duration_ms": "number"}
 DNS = {"domain": "string", "query_type": "string", "resolver": "address"}
 FILE = {"path": "path", "old_path": "path"}

@@ -91,56 +91,73 @@ def glob_regex(glob: str) -> str:
 _V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?=[0-9])|$)){4}$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: without it, an expression that names a parsed part several times holds
+    the parse as many times, and nested ones multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ipv4_number(address: Column) -> Column:
     """The address as a number; null where it isn't one in dotted form."""
-    parts = F.split(address, r"\.")
-    total = sum((parts[i].cast("long") * (1 << (8 * (3 - i))) for i in range(1, 4)), parts[0].cast("long") * (1 << 24))
-    return F.when(address.rlike(_V4), total)
+    total = lambda parts: sum((parts[i].cast("long") * (1 << (8 * (3 - i))) for i in range(1, 4)), parts[0].cast("long") * (1 << 24))
+    return F.when(address.rlike(_V4), let(F.split(address, r"\."), total))
 
 
 def ipv6_hex(address: Column) -> Column:
     """The 32 hexadecimal digits of a version 6 address; null where it isn't one."""
-    low = F.lower(address)
-    tail = F.regexp_extract(low, r"([0-9.]+)$", 1)
-    number = ipv4_number(F.when(F.contains(tail, F.lit(".")), tail))
-    plain = F.when(number.isNotNull(), F.concat(F.substr(low, F.lit(1), F.length(low) - F.length(tail)), F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(0xFFFF))))).when(~F.contains(low, F.lit(".")), low)
-    halves = F.split(plain, "::", 2)
+    none = F.array().cast("array<string>")
 
     def groups(side: Column) -> Column:
-        return F.when(F.length(side) == 0, F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+        return F.when(F.length(side) == 0, none).otherwise(F.split(side, ":"))
+
+    def plain(x: Column) -> Column:  # an IPv4 tail becomes two groups
+        number = ipv4_number(F.when(F.contains(x["tail"], F.lit(".")), x["tail"]))
+        two = lambda n: F.concat(F.substr(x["low"], F.lit(1), F.length(x["low"]) - F.length(x["tail"])), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
+        return F.when(F.contains(x["low"], F.lit(".")), let(number, two)).otherwise(x["low"])
+
+    def sides(halves: Column) -> Column:
+        return F.struct(groups(halves[0]).alias("left"), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(none).alias("right"), (F.size(halves) == 2).alias("cut"))
 
-    left = groups(halves[0])
-    right = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    full = F.when(F.size(halves) == 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)).otherwise(left)
-    good = (F.size(full) == 8) & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ((F.size(halves) == 1) | (missing >= 1))
-    return F.when(good, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+    def full(x: Column) -> Column:
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(x["left"]) - F.size(x["right"]), F.lit(0)))
+        return F.when(x["cut"], F.when(F.size(x["left"]) + F.size(x["right"]) < 8, F.concat(x["left"], zeros, x["right"]))).otherwise(x["left"])
+
+    def joined(parts: Column) -> Column:
+        good = (F.size(parts) == 8) & F.forall(parts, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), ""))
+
+    low = let(F.lower(address), lambda x: F.struct(x.alias("low"), F.regexp_extract(x, r"([0-9.]+)$", 1).alias("tail")))
+    return let(let(let(F.split(let(low, plain), "::", 2), sides), full), joined)
 
 
 def in_cidr(address: Column, networks: list[str]) -> Column:
     """Whether the address lies in any network; a bare address is a network of its own. Version 4 addresses mapped into
     version 6 count as version 4; what isn't an address lies in none."""
-    six = ipv6_hex(F.when(F.contains(address, F.lit(":")), address))
-    mapped = F.when(F.startswith(six, F.lit("0" * 20 + "ffff")), F.conv(F.substr(six, F.lit(25), F.lit(8)), 16, 10).cast("long"))
-    four = F.coalesce(ipv4_number(address), mapped)
-    tests = []
-    for text in networks:
-        net = ipaddress.ip_network(text, strict=False)
-        if net.version == 4:
-            shift = 32 - net.prefixlen
-            tests.append(F.shiftright(four, shift) == (int(net.network_address) >> shift))
-            continue
-        digits, bits = divmod(net.prefixlen, 4)
-        want = f"{int(net.network_address):032x}"
-        same = F.substr(six, F.lit(1), F.lit(digits)) == want[:digits] if digits else six.isNotNull()
-        if bits:
-            own = F.conv(F.substr(six, F.lit(digits + 1), F.lit(1)), 16, 10).cast("int")
-            same = same & (F.shiftright(own, 4 - bits) == int(want[digits], 16) >> (4 - bits))
-        tests.append(same & mapped.isNull())
-    found = F.lit(False)
-    for t in tests:
-        found = found | F.coalesce(t, F.lit(False))
-    return found
+    nets = [ipaddress.ip_network(text, strict=False) for text in networks]
+
+    def in_four(number: Column) -> Column:
+        found = F.lit(False)
+        for net in nets:
+            if net.version == 4:
+                shift = 32 - net.prefixlen
+                found = found | (F.shiftright(number, shift) == (int(net.network_address) >> shift))
+        return F.coalesce(found, F.lit(False))
+
+    def in_six(six: Column) -> Column:
+        found = F.lit(False)
+        for net in nets:
+            if net.version == 6:
+                digits, bits = divmod(net.prefixlen, 4)
+                want = f"{int(net.network_address):032x}"
+                same = F.substr(six, F.lit(1), F.lit(digits)) == want[:digits] if digits else six.isNotNull()
+                if bits:
+                    own = F.conv(F.substr(six, F.lit(digits + 1), F.lit(1)), 16, 10).cast("int")
+                    same = same & (F.shiftright(own, 4 - bits) == int(want[digits], 16) >> (4 - bits))
+                found = found | same
+        mapped = F.conv(F.substr(six, F.lit(25), F.lit(8)), 16, 10).cast("long")
+        return F.coalesce(F.when(F.startswith(six, F.lit("0" * 20 + "ffff")), let(mapped, in_four)).otherwise(found), F.lit(False))
+
+    return F.when(F.contains(address, F.lit(":")), let(ipv6_hex(address), in_six)).otherwise(let(ipv4_number(address), in_four))
 
 
 def clean_path(path: Column) -> Column:
@@ -203,7 +220,7 @@ def clamp_time(ts: Column, arrival: Column) -> Column:
 
 
 def start_ms(ticks: Column, boot_ms: Column, hz: int = 100) -> Column:
-    return F.floor(ticks * 1000 / hz) + boot_ms
+    return F.floor((ticks * 1000).cast("decimal(38,0)") / hz).cast("long") + boot_ms
 
 
 def basename(path: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import severity_rank
 
@@ -13,32 +15,46 @@ def dedup_key(rule: Column, processes: list[Column]) -> Column:
     return F.concat_ws("|", rule, F.array_join(F.array_sort(F.array(*(p.cast("string") for p in processes))), ","))
 
 
-def _greedy(times: str, window_us: int, most: int = 1) -> str:
-    """SQL over a sorted array of microseconds: (at, kept, number of the window). A window opens at its first time."""
-    start = "cast(null as bigint)"
-    return f"""aggregate({times}, named_struct('first', {start}, 'n', 0, 'w', 0, 'out', cast(array() as array<struct<us:bigint,kept:boolean,w:int>>)),
-        (acc, x) -> if(acc.first is null or x - acc.first >= {window_us},
-            named_struct('first', x, 'n', 1, 'w', acc.w + 1, 'out', concat(acc.out, array(named_struct('us', x, 'kept', true, 'w', acc.w + 1)))),
-            named_struct('first', acc.first, 'n', acc.n + 1, 'w', acc.w, 'out', concat(acc.out, array(named_struct('us', x, 'kept', acc.n < {most}, 'w', acc.w))))),
-        acc -> acc.out)"""
+def _windows(times: DataFrame, group: str, time: str, window_us: int) -> DataFrame:
+    """(group, time, window, opens) of distinct times: a window opens at a group's first time, and at the first one
+    ``window_us`` or more after the last opening.
+
+    Where a window opens depends on all times before, so a group is read in order, as a stream that keeps two numbers; it is
+    never gathered.
+    """
+    schema = T.StructType([times.schema[group], T.StructField(time, T.LongType()), T.StructField("window", T.LongType()), T.StructField("opens", T.BooleanType())])
+    ordered = times.select(group, F.col(time).cast("long").alias(time)).repartition(group).sortWithinPartitions(group, time)
+
+    def run(batches):
+        now, first, number = object(), None, 0
+        for batch in batches:
+            windows, opens = [], []
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if g != now:
+                    now, first, number = g, None, 0
+                new = first is None or t - first >= window_us
+                if new:
+                    first, number = t, number + 1
+                windows.append(number)
+                opens.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.int64()), pa.array(opens, pa.bool_())], [group, time, "window", "opens"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def suppress(matches: DataFrame, window_us: int, key: str = "key", time: str = "us") -> DataFrame:
     """(key, us) of the matches that are reported: the first of a key, and then each that is a window or more later."""
-    grouped = matches.groupBy(key).agg(F.sort_array(F.collect_set(time)).alias("_times"))
-    kept = grouped.select(key, F.explode(F.expr(_greedy("_times", window_us))).alias("x")).filter("x.kept")
-    return kept.select(key, F.col("x.us").alias(time))
+    return _windows(matches.select(key, time).distinct(), key, time, window_us).filter("opens").select(key, time)
 
 
 def rate_limit(findings: DataFrame, window_us: int, most: Column | int | str = 20, rule: str = "rule", time: str = "us", order: str = "key") -> DataFrame:
     """The findings with kept (among the first ``most`` of the rule in its window) and window (number, from 1).
 
-    A window opens at the first finding after the last window. Only distinct times of a rule are gathered, to find where
+    A window opens at the first finding after the last window. The distinct times of a rule are read in order, to find where
     its windows open; ranks within a window come from an ordinary window function.
     """
-    times = findings.groupBy(rule).agg(F.sort_array(F.collect_set(time)).alias("_times"))
-    opened = times.select(F.col(rule).alias("_rule"), F.explode(F.expr(_greedy("_times", window_us))).alias("x")).select("_rule", F.col("x.us").alias("_us"), F.col("x.w").alias("window"))
-    joined = findings.join(opened, (F.col(rule) == F.col("_rule")) & (F.col(time) == F.col("_us"))).drop("_rule", "_us")
+    opened = _windows(findings.select(rule, time).distinct(), rule, time, window_us).select(F.col(rule).alias("_rule"), F.col(time).alias("_us"), "window")
+    joined = findings.join(opened, F.col(rule).eqNullSafe(F.col("_rule")) & (F.col(time) == F.col("_us"))).drop("_rule", "_us")
     w = Window.partitionBy(rule, "window").orderBy(time, order)
     limit = F.lit(most) if isinstance(most, int) else F.col(most) if isinstance(most, str) else most
     return joined.withColumn("kept", F.row_number().over(w) <= limit)

@@ -17,14 +17,27 @@ def with_derived_exit(processes: DataFrame) -> DataFrame:
 def parent_edges(processes: DataFrame) -> DataFrame:
     """(parent, child): each process's parent is the latest holder of its ppid that started no later and hadn't exited.
 
-    An equi-join on the PID with range conditions, then the latest by ``max_by``; a PID that is reused very often is a
-    skewed key, which adaptive execution splits, as the aggregation by child comes after another shuffle.
+    Exits are derived first, so of all holders before a start only the latest can be alive, or the one before it where that
+    is the process itself or both meet in one instant. Holders and children of a PID are therefore read once in the order of
+    start; no child meets all holders. Processes of unknown start, which fit any time, are joined instead.
     """
-    child = processes.select(F.col("proc").alias("child"), F.col("ppid").alias("_ppid"), F.col("start").alias("_started"))
-    held = processes.select(F.col("proc").alias("parent"), "pid", "start", "exited_at")
-    on = (F.col("_ppid") == F.col("pid")) & (F.col("parent") != F.col("child"))
-    alive = (F.col("start").isNull() | F.col("_started").isNull() | (F.col("start") <= F.col("_started"))) & (F.col("exited_at").isNull() | (F.coalesce(F.col("exited_at") >= F.col("_started"), F.lit(False))))
-    return child.join(held, on & alive).groupBy("child").agg(F.max_by("parent", F.struct("start", "parent")).alias("parent")).select("parent", "child")
+    held = with_derived_exit(processes)
+    one = lambda: F.struct(F.col("start").alias("start"), F.col("proc").alias("proc"), F.col("exited_at").alias("exited_at"))
+    order = Window.partitionBy("pid").orderBy("start", "proc")
+    known = held.filter("start is not null")
+    holders = known.withColumns({"_own": one(), "_before": F.lag(one()).over(order)}).select(F.col("pid").alias("_pid"), "start", F.lit(0).alias("_side"), "proc", "_own", "_before")
+    children = known.select(F.col("ppid").alias("_pid"), "start", F.lit(1).alias("_side"), "proc", *(F.lit(None).cast(holders.schema[c].dataType).alias(c) for c in ("_own", "_before"))).filter("_pid is not null")
+    upto = Window.partitionBy("_pid").orderBy("start", "_side", "proc").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(F.when(F.col("_side") == 0, F.struct("_own", "_before")), ignorenulls=True).over(upto)[c]
+    met = holders.unionByName(children).withColumns({"_first": last("_own"), "_second": last("_before")}).filter("_side = 1")
+    alive = lambda c: F.when((F.col(f"{c}.proc") != F.col("proc")) & (F.col(f"{c}.exited_at").isNull() | (F.col(f"{c}.exited_at") >= F.col("start"))), F.col(c))
+    asof = met.withColumn("_at", F.coalesce(alive("_first"), alive("_second"))).filter("_at is not null").select(F.col("proc").alias("child"), F.col("_at.proc").alias("parent"), F.col("_at.start").alias("start"))
+    child = held.select(F.col("proc").alias("child"), F.col("ppid").alias("_ppid"), F.col("start").alias("_started"))
+    other = held.select(F.col("proc").alias("parent"), "pid", "start", "exited_at")
+    unknown = (F.col("start").isNull() | F.col("_started").isNull()) & (F.col("exited_at").isNull() | F.coalesce(F.col("exited_at") >= F.col("_started"), F.lit(False)))
+    on = (F.col("_ppid") == F.col("pid")) & (F.col("parent") != F.col("child")) & unknown
+    loose = child.filter("_started is null").join(other, on).unionByName(child.filter("_started is not null").join(other.filter("start is null"), on)).select("child", "parent", "start")
+    return asof.unionByName(loose).groupBy("child").agg(F.max_by("parent", F.struct("start", "parent")).alias("parent")).select("parent", "child")
 
 
 def descendants(edges: DataFrame, max_depth: int) -> DataFrame:

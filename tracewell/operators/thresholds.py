@@ -22,9 +22,17 @@ def count_met(events: DataFrame, by: list[str], count: int, within_us: int) -> D
 
 
 def distinct_met(events: DataFrame, by: list[str], value: str, count: int, within_us: int) -> DataFrame:
-    """As ``count_met`` for distinct values; missing ones don't count."""
+    """As ``count_met`` for distinct values; missing ones don't count.
+
+    A sighting counts until the span is over or the value is seen again, so the count is a running sum of plus and minus ones,
+    and no set of values is held.
+    """
     seen = events.filter(F.coalesce(F.col(value).cast("string"), F.lit("")) != "").withColumn("us", micros(F.col("ts")))
-    return seen.withColumn("n", F.size(F.collect_set(value).over(_span(by, within_us)))).filter(F.col("n") >= count).drop("us")
+    again = F.lead("us").over(Window.partitionBy(*by, value).orderBy("us"))
+    here = seen.withColumn("_until", F.least(F.col("us") + within_us, again)).withColumn("_step", F.explode(F.array(F.lit(1), F.lit(-1))))
+    steps = here.withColumn("us", F.when(F.col("_step") > 0, F.col("us")).otherwise(F.col("_until")))
+    open_now = F.sum("_step").over(Window.partitionBy(*by).orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("n", open_now).filter((F.col("_step") > 0) & (F.col("n") >= count)).drop("us", "_until", "_step")
 
 
 def newest(events: DataFrame, by: list[str], keep: int = 64) -> DataFrame:

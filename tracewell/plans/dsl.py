@@ -89,6 +89,8 @@ class PatternSet:
     exclusions: list[Exclusion] = field(default_factory=list)
     #: (entry, message) of entries that couldn't be loaded; the others are.
     problems: list[tuple[str, str]] = field(default_factory=list)
+    #: Those entries as they were read, by section, so that saving doesn't lose them.
+    rejected: dict[str, list[Any]] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 
 
@@ -212,6 +214,13 @@ def validate(p: Pattern, window_us: int = 300_000_000) -> None:
             raise PatternError(f"max_depth must be between 1 and {MAX_DEPTH}, for DESCENDANT only")
     if len(ids) > 1 and set(ids) - {x for e in p.edges for x in (e.parent, e.child)}:
         raise PatternError("every role must be related to another")
+    if len(ids) > 1:
+        met, grew = {ids[0]}, True
+        while grew:
+            grew = {x for e in p.edges if e.parent in met or e.child in met for x in (e.parent, e.child)} - met
+            met |= grew
+        if set(ids) - met:
+            raise PatternError(f"the roles are not all connected: {', '.join(sorted(set(ids) - met))}")
     for role, match in p.exclude:
         if role not in ids:
             raise PatternError(f'exclude names an unknown role "{role}"')
@@ -246,6 +255,7 @@ def load(text: str, window_us: int = 300_000_000) -> PatternSet:
             out.patterns.append(p)
         except (PatternError, KeyError, TypeError, ValueError) as e:
             out.problems.append((name, str(e)))
+            out.rejected.setdefault("patterns", []).append(node)
     for i, node in enumerate(tree.get("exclusions") or []):
         try:
             x = _strict(node, "exclusion", f"exclusions[{i}]")
@@ -255,6 +265,7 @@ def load(text: str, window_us: int = 300_000_000) -> PatternSet:
             out.exclusions.append(Exclusion(list(x["rules"]), x["match"], x.get("description", "")))
         except PatternError as e:
             out.problems.append((f"exclusions[{i}]", str(e)))
+            out.rejected.setdefault("exclusions", []).append(node)
     return out
 
 
@@ -286,6 +297,8 @@ def dump(found: PatternSet) -> str:
     tree: dict[str, Any] = {"patterns": [_plain(p) for p in found.patterns]}
     if found.exclusions:
         tree["exclusions"] = [{"rules": x.rules, "match": x.match} | ({"description": x.description} if x.description else {}) for x in found.exclusions]
+    for section, nodes in found.rejected.items():
+        tree[section] = tree.get(section, []) + nodes
     return yaml.safe_dump(tree, sort_keys=False, allow_unicode=True)
 
 

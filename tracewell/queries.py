@@ -88,10 +88,9 @@ def legacy_conditions(spark, sf_dir):
 @query("SELECT proc FROM proc WHERE proc IN (SELECT proc FROM tele WHERE type = 'NETWORK_CONNECT' AND remote_port > 8000) AND proc IN (SELECT proc FROM tele WHERE type = 'DNS_QUERY')")
 def req_exists(spark, sf_dir):
     t = tele(spark, sf_dir)
-    p = processes(spark, sf_dir).select("proc")
-    for need in (dsl.Requirement("NETWORK_CONNECT", {"remote_port": {"gt": 8000}}), dsl.Requirement("DNS_QUERY")):
-        p = p.join(matcher.requirement_events(t, need).select("proc"), "proc", "left_semi")
-    return p
+    role = dsl.Role("a", events=[dsl.Requirement("NETWORK_CONNECT", {"remote_port": {"gt": 8000}}), dsl.Requirement("DNS_QUERY")])
+    p = processes(spark, sf_dir)
+    return matcher.bindings(dsl.Pattern("p", roles=[role]), p, t, graph.parent_edges(p), 400 * DAY).select(F.col("r_a").alias("proc"))
 
 
 @query(f"SELECT event_id, proc, n FROM (SELECT *, count(*) OVER (PARTITION BY proc ORDER BY epoch_us(ts) RANGE BETWEEN {3 * DAY - 1} PRECEDING AND CURRENT ROW) AS n FROM tele WHERE type = 'NETWORK_CONNECT') AS q WHERE n >= 3")
@@ -116,7 +115,7 @@ def req_intervals(spark, sf_dir):
 
 @query("SELECT child, parent FROM edges")
 def parent_asof(spark, sf_dir):
-    return graph.parent_edges(graph.with_derived_exit(processes(spark, sf_dir)))
+    return graph.parent_edges(processes(spark, sf_dir))
 
 
 def _edges(spark, sf_dir):
@@ -197,7 +196,7 @@ def seq_capture(spark, sf_dir):
     return _sequence(spark, sf_dir, steps, 20 * DAY, 0).select(F.col("r_a").alias("proc"), "id0", "id1")
 
 
-@query(f"SELECT x.proc, x.event_id AS id0, y.event_id AS id1 FROM tele x JOIN tele y ON x.proc = y.proc WHERE x.type = 'FILE_CREATE' AND y.type = 'PROCESS_START' AND x.path <> '' AND y.exe = x.path AND y.ts >= x.ts AND epoch_us(y.ts) - epoch_us(x.ts) <= {30 * DAY}")
+@query(rf"SELECT x.proc, x.event_id AS id0, y.event_id AS id1 FROM tele x JOIN tele y ON x.proc = y.proc WHERE x.type = 'FILE_CREATE' AND y.type = 'PROCESS_START' AND x.path <> '' AND starts_with(x.path, '/tmp/') AND regexp_replace(y.exe, '//+', '/', 'g') = regexp_replace(regexp_replace(x.path, '//+', '/', 'g'), '/[^/]+/\.\.', '', 'g') AND y.ts >= x.ts AND epoch_us(y.ts) - epoch_us(x.ts) <= {30 * DAY}")
 def download_execute(spark, sf_dir):
     steps = [dsl.Step("a", "FILE_CREATE", {"path": {"glob": "/tmp/**"}}, "dropped"), dsl.Step("a", "PROCESS_START", {"exe": {"eq": "$dropped.path"}})]
     return _sequence(spark, sf_dir, steps, 30 * DAY, 0).select(F.col("r_a").alias("proc"), "id0", "id1")
