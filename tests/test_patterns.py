@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewell import queries as Q
 from tracewell.functions import scalars as S
 from tracewell.functions.predicates import PatternError, block, check
-from tracewell.operators import findings
+from tracewell.operators import findings, graph
 from tracewell.plans import dsl, matcher
 from tracewell.streaming.live import LiveDetector
 
@@ -102,3 +102,55 @@ def test_graph_pattern_needs_distinct_related_processes(spark):
     pattern = dsl.Pattern("pair", roles=[dsl.Role("a"), dsl.Role("b", {"name": "sh"})], edges=[dsl.Edge("SPAWNED", "a", "b")])
     got = {(r["r_a"], r["r_b"]) for r in matcher.match_intervals(pattern, p, e, edges, 30_000_000).collect()}
     assert got == {(f"p{x[2]}", x[0]) for x in procs if x[5] == "sh" and f"p{x[2]}" != x[0]}
+
+
+def test_wide_predicates_stay_small_plans(spark):
+    col = F.col("v")
+    e = S.in_cidr(col, ["10.0.0.0/8", "192.168.0.0/16", "2001:db8::/32", "fe80::/10", "172.16.0.0/12"])
+    plan = spark.createDataFrame([("10.1.1.1",)], "v string").filter(e)._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 30_000
+
+
+def test_parent_as_of_the_start_under_reused_pids(spark):
+    at = lambda s: None if s is None else T0 + dt.timedelta(seconds=s)
+    rng = random.Random(4)
+    rows = []
+    for i in range(90):
+        start = rng.choice([None, *range(40)])
+        rows.append((f"p{i}", rng.randrange(6), rng.randrange(7), at(start), at(rng.choice([None, None, (start or 0) + rng.randrange(20)])), "n", "/x", "", ""))
+    p = spark.createDataFrame(rows, PROCS)
+    derived = {}
+    for pid in range(6):
+        held = sorted((r for r in rows if r[1] == pid), key=lambda r: (r[3] is not None, r[3] or T0, r[0]))
+        for r, after in zip(held, [*held[1:], None], strict=True):
+            derived[r[0]] = min((x for x in (r[4], after and after[3]) if x is not None), default=None)
+    want = {}
+    for c in rows:
+        held = [h for h in rows if h[1] == c[2] and h[0] != c[0] and (h[3] is None or c[3] is None or h[3] <= c[3])]
+        held = [h for h in held if derived[h[0]] is None or c[3] is not None and derived[h[0]] >= c[3]]
+        if held:
+            want[c[0]] = max(held, key=lambda h: (h[3] is not None, h[3] or T0, h[0]))[0]
+    got = {r["child"]: r["parent"] for r in graph.parent_edges(p).collect()}
+    assert {c: x for c, x in got.items() if dict((r[0], r[3]) for r in rows)[c] is not None} == {c: x for c, x in want.items() if dict((r[0], r[3]) for r in rows)[c] is not None}
+
+
+def test_roles_must_be_connected_and_saving_keeps_rejected_entries(tmp_path):
+    two = "{id: %s}"
+    text = f"patterns: [{{name: split, processes: [{', '.join(two % x for x in 'abcd')}], relationships: [{{type: SPAWNED, parent: a, child: b}}, {{type: SPAWNED, parent: c, child: d}}]}}, {{name: fine, processes: [{{id: a}}]}}]"
+    found = dsl.load(text)
+    assert [n for n, why in found.problems if "connected" in why] == ["split"] and [p.name for p in found.patterns] == ["fine"]
+    dsl.save(found, str(tmp_path / "p.yaml"))
+    again = dsl.load((tmp_path / "p.yaml").read_text())
+    assert [p.name for p in again.patterns] == ["fine"] and [n for n, _ in again.problems] == ["split"]
+
+
+def test_rate_windows_of_a_long_rule(spark):
+    rng, w = random.Random(2), 50
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(3000)) for _ in range(2500)]
+    got = {(r["rule"], r["us"]): r["window"] for r in findings.rate_limit(spark.createDataFrame([(r, t, i) for i, (r, t) in enumerate(rows)], "rule string, us long, key int"), w).collect()}
+    for rule in ("a", "b", None):
+        first, number = None, 0
+        for t in sorted({t for r, t in rows if r == rule}):
+            if first is None or t - first >= w:
+                first, number = t, number + 1
+            assert got[(rule, t)] == number

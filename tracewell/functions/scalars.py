@@ -247,7 +247,7 @@ def offset_text(us: Column) -> Column:
 def bytes_text(n: Column) -> Column:
     out = F.when(n < 1024, F.format_string("%d B", n))
     for k, unit in enumerate("KMGT", 1):
-        scaled = F.format_string(f"%.1f {unit}iB", n / (1024.0**k))
+        scaled = F.format_string(f"%.1f {unit}iB", F.bround(n / (1024.0**k), 1))  # exact halves go to the even digit
         out = out.when(n < 1024 ** (k + 1), scaled) if unit != "T" else out.otherwise(scaled)
     return out
 

@@ -18,6 +18,17 @@ def socket_owner(sockets: DataFrame, owners: DataFrame) -> DataFrame:
     return sockets.join(held, F.col("inode") == F.col("_inode"), "left").withColumn("pid", F.coalesce("_pid", F.lit(0))).drop("_inode", "_pid")
 
 
+def endpoint_owner(asked: DataFrame, sockets: DataFrame, owners: DataFrame) -> DataFrame:
+    """Endpoints (addr, port) with the PID that owns their socket: found among the tcp sockets first, then among the udp ones;
+    null if there is none or nobody holds it. ``sockets``: protocol, addr, port, inode; ``owners``: inode, pid."""
+    for protocol in ("tcp", "udp"):
+        own = sockets.filter(F.col("protocol") == protocol).groupBy("addr", "port").agg(F.min("inode").alias(f"_{protocol}"))
+        asked = asked.join(own, ["addr", "port"], "left")
+    held = owners.groupBy(F.col("inode").alias("_inode")).agg(F.min("pid").alias("pid"))
+    found = asked.withColumn("_found", F.coalesce("_tcp", "_udp"))
+    return found.join(held, F.col("_found") == F.col("_inode"), "left").drop("_tcp", "_udp", "_found", "_inode")
+
+
 def attribute_ports(packets: DataFrame, bound: DataFrame) -> DataFrame:
     """Packets with the owner of their port: by udp, else by tcp, else none (column via). ``bound``: protocol, port, pid."""
     for protocol in ("udp", "tcp"):

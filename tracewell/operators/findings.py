@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import severity_rank
+from ..functions.scalars import offset_text, severity_rank
 
 
 def dedup_key(rule: Column, processes: list[Column]) -> Column:
@@ -110,3 +110,84 @@ def event_summary(events: DataFrame) -> Column:
     dns = F.format_string("%s (%s)", e["domain"], F.coalesce(e["query_type"], F.lit("A")))
     file = F.when(F.coalesce(e["old_path"], F.lit("")) != "", F.concat_ws(" -> ", e["old_path"], e["path"])).otherwise(e["path"])
     return F.when(F.startswith(e["type"], F.lit("NETWORK_")), network).when(e["type"] == "DNS_QUERY", dns).when(F.startswith(e["type"], F.lit("FILE_")), file).otherwise(F.coalesce(some("cmdline"), some("exe"), some("name")))
+
+
+def save_rows(findings: DataFrame) -> DataFrame:
+    """Findings as rows of the log: tab, line, header and evidence as JSON, finding_id, status. ``roles`` and ``events`` are evidence."""
+    header = [c for c in ("finding_id", "ts", "rule", "severity", "title", "description") if c in findings.columns]
+    evidence = [c for c in ("roles", "events") if c in findings.columns]
+    return findings.select("ts", F.lit("Findings").alias("tab"), "line", F.to_json(F.struct(*header)).alias("finding"), F.to_json(F.struct(*evidence)).alias("evidence"), "finding_id", F.lit("new").alias("status"))
+
+
+def finding_json(findings: DataFrame, *columns: str) -> Column:
+    """The export of one finding, its status included, under the names of its columns."""
+    return F.to_json(F.struct(*columns, F.coalesce("status", F.lit("new")).alias("status")))
+
+
+def headless_line(severity: Column, rule: Column, title: Column, description: Column, roles: Column, n_events: Column) -> Column:
+    """The log line of a finding; roles and events only where there are roles."""
+    text = roles_text(roles)
+    head = F.format_string("severity=%s rule=%s  %s — %s", severity, rule, title, description)
+    return F.when(text != "", F.concat(head, F.format_string("  roles=[%s] events=%d", text, n_events))).otherwise(head)
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """One row: total, and how many are new."""
+    return findings.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "new").alias("unhandled"))
+
+
+def rules_with_findings(findings: DataFrame) -> DataFrame:
+    return findings.filter(F.coalesce(F.col("rule"), F.lit("")) != "").select("rule").distinct().orderBy("rule")
+
+
+def role_of(roles: Column, identity: Column, pid: Column) -> Column:
+    """The first role, by name, that a process fills; ``pid N`` if it fills none. ``roles``: a map of role to identity."""
+    held = F.filter(F.array_sort(F.map_entries(roles)), lambda e: e["value"] == identity)
+    return F.coalesce(F.get(held, F.lit(0))["key"], F.concat(F.lit("pid "), pid.cast("string")))
+
+
+def timeline(events: DataFrame, finding: str = "finding_id", time: str = "us", order: str = "position") -> DataFrame:
+    """The events of each finding with their place in time (equal times keep their order) and the offset from the first."""
+    w = Window.partitionBy(finding).orderBy(time, order)
+    return events.withColumns({"place": F.row_number().over(w), "offset": offset_text(F.col(time) - F.min(time).over(w.rowsBetween(Window.unboundedPreceding, 0)))})
+
+
+def recent_findings(rows: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` stored findings, oldest first: an unknown status is new; a row without an id is named after its
+    number and titled by its line."""
+    own = F.coalesce(F.col("finding_id"), F.lit("")) != ""
+    status = F.when(F.col("status").isin("new", "acknowledged", "dismissed"), F.col("status")).otherwise("new")
+    named = rows.withColumns({"key": F.when(own, F.col("finding_id")).otherwise(F.concat(F.lit("row-"), F.col("id").cast("string"))), "title": F.when(own, F.col("title")).otherwise(F.col("line")), "status": status})
+    return named.orderBy(F.desc("id")).limit(max(n, 0)).orderBy("id")
+
+
+def evidence(sequence: Column, firsts: Column, latest: Column, most: int = 50) -> Column:
+    """Event ids that explain a finding: those of the sequence, an example of each requirement, the latest of each threshold;
+    each once, ``most`` in all."""
+    return F.slice(F.array_distinct(F.filter(F.concat(sequence, firsts, latest), lambda x: x.isNotNull())), F.lit(1), F.lit(most))
+
+
+def health_line(fields: dict[str, Column]) -> Column:
+    """``key=value key=value`` in the order given."""
+    return F.concat_ws(" ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in fields.items()))
+
+
+def summary_line(backend: Column, patterns: Column, problems: Column, unhandled: Column, total: Column) -> Column:
+    return F.format_string("collector: %s   patterns: %d   pattern errors: %d   findings: %d new / %d", backend, patterns, problems, unhandled, total)
+
+
+def telemetry_lines(events: DataFrame) -> DataFrame:
+    """(event_id, tab, line) of the events that a tab shows: processes, connections, DNS queries and files. Missing texts are empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    pid, kind = F.coalesce(F.col("pid"), F.lit(0)), F.col("type")
+    owner = F.when(text("name") != "", F.format_string("PID=%-6d %s", pid, text("name"))).when(pid != 0, F.format_string("PID=%-6d", pid)).otherwise("<unknown>")
+    lines = {
+        "Process": (("PROCESS_START", "PROCESS_EXIT", "PROCESS_EXEC"), F.format_string("%s  PID=%-6d  %-20s  %s", kind, pid, text("name"), text("exe"))),
+        "Network": (("NETWORK_CONNECT", "NETWORK_CLOSE"), F.format_string("%s  PID=%-6d  %-5s  %s:%d  %s", kind, pid, text("protocol"), text("remote_addr"), F.coalesce(F.col("remote_port"), F.lit(0)), text("state"))),
+        "DNS": (("DNS_QUERY",), F.format_string("%-40s  %-6s  resolver=%-16s  %s", text("domain"), text("query_type"), text("resolver"), owner)),
+        "File": (("FILE_CREATE", "FILE_MODIFY", "FILE_DELETE", "FILE_RENAME"), F.format_string("%s  PID=%-6d  %s", kind, pid, text("path"))),
+    }
+    tab = line = None
+    for name, (types, made) in lines.items():
+        tab, line = (F.when(kind.isin(*types), x) if old is None else old.when(kind.isin(*types), x) for old, x in ((tab, F.lit(name)), (line, made)))
+    return events.select("event_id", tab.alias("tab"), line.alias("line")).filter("tab is not null")

@@ -58,3 +58,23 @@ def snapshot_tree(snapshot: DataFrame) -> DataFrame:
     """Each process of a snapshot with its children's PIDs."""
     kids = snapshot.groupBy(F.col("ppid").alias("_of")).agg(F.array_sort(F.collect_list("pid")).alias("children"))
     return snapshot.join(kids, F.col("pid") == F.col("_of"), "left").drop("_of").withColumn("children", F.coalesce("children", F.array().cast("array<long>")))
+
+
+def canonical(events: DataFrame, processes: DataFrame) -> DataFrame:
+    """Events (pid, ts, proc, proc_start) whose process has an unknown start get the live holder of the PID then, if there is one."""
+    order = Window.partitionBy("_pid").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    held = with_derived_exit(processes).filter("start is not null").select(F.col("pid").alias("_pid"), F.col("start").alias("_at"), F.lit(0).alias("_side"), F.struct("proc", "exited_at").alias("_holder"))
+    asked = events.select(F.col("pid").alias("_pid"), F.col("ts").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(held.schema["_holder"].dataType).alias("_holder"), F.struct(*events.columns).alias("_row"))
+    both = held.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked)
+    met = both.withColumn("_holder", F.last("_holder", ignorenulls=True).over(order)).filter("_side = 1").select("_row.*", "_holder")
+    alive = F.col("_holder.exited_at").isNull() | (F.col("_holder.exited_at") > F.col("ts"))
+    unknown = F.col("proc_start").isNull() | (F.col("proc_start") <= F.lit("1970-01-01").cast("timestamp"))
+    return met.withColumn("proc", F.when(unknown & F.col("_holder").isNotNull() & alive, F.col("_holder.proc")).otherwise(F.col("proc"))).drop("_holder")
+
+
+def describe(known: DataFrame, tracked: DataFrame, listed: DataFrame) -> DataFrame:
+    """(pid, start, exe, via): what is tracked under the same identity and has an executable, else what a listing shows of the PID."""
+    own = tracked.filter(F.coalesce(F.col("exe"), F.lit("")) != "").select("pid", "start", F.col("exe").alias("_tracked"))
+    now = listed.select("pid", F.col("exe").alias("_listed")).dropDuplicates(["pid"])
+    via = F.when(F.col("_tracked").isNotNull(), "tracked").when(F.col("_listed").isNotNull(), "listed").otherwise("none")
+    return known.join(own, ["pid", "start"], "left").join(now, "pid", "left").select("pid", "start", F.coalesce("_tracked", "_listed").alias("exe"), via.alias("via"))

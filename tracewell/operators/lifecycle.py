@@ -56,3 +56,21 @@ def reconcile(tracked: DataFrame, listed: DataFrame, key: list[str]) -> DataFram
     """Tracked but not listed: an inferred exit; listed but not tracked: a reconciled start."""
     gone = tracked.join(listed, key, "left_anti").select(*key, F.lit("PROCESS_EXIT").alias("event"))
     return gone.unionByName(listed.join(tracked, key, "left_anti").select(*key, F.lit("PROCESS_START").alias("event")))
+
+
+def inherit(starts: DataFrame, images: DataFrame) -> DataFrame:
+    """Forked processes (proc, parent, at, and their own name, exe, cmdline, user) with the image that their parent had then.
+
+    ``images``: (proc, at, name, exe, cmdline, user), whenever one changed. A fork runs its parent's program; its own record
+    counts only where the parent is unknown, and for the user if it has one.
+    """
+    fields = ("name", "exe", "cmdline", "user")
+    known = images.select(F.col("proc").alias("_key"), F.col("at").alias("_at"), F.lit(0).alias("_side"), F.struct(*fields).alias("_image"))
+    asked = starts.select(F.col("parent").alias("_key"), F.col("at").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(known.schema["_image"].dataType).alias("_image"), F.struct(*starts.columns).alias("_row"))
+    both = known.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked)
+    upto = Window.partitionBy("_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_image", F.last("_image", ignorenulls=True).over(upto)).filter("_side = 1")
+    rows = met.select("_row.*", "_image")
+    own = {f: F.when(F.col("_image").isNotNull(), F.col(f"_image.{f}")).otherwise(F.col(f)) for f in fields}
+    own["user"] = F.when(F.coalesce(F.col("user"), F.lit("")) != "", F.col("user")).otherwise(F.col("_image.user"))
+    return rows.withColumns(own).withColumn("partial", F.col("_image").isNull() & (F.coalesce(F.col("exe"), F.lit("")) == "")).drop("_image")

@@ -41,6 +41,20 @@ def newest(events: DataFrame, by: list[str], keep: int = 64) -> DataFrame:
     return events.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= keep).drop("_rank")
 
 
+def truncated(events: DataFrame, by: list[str], keep: int = 64) -> DataFrame:
+    """How many events of each group a cap of ``keep`` would drop, where it drops any."""
+    counts = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > keep).withColumn("dropped", F.col("n") - keep).drop("n")
+
+
+def still_met(met: DataFrame, asked: DataFrame, by: list[str], window_us: int) -> DataFrame:
+    """Times (by.., us) that are asked about, with whether a threshold, met at the times of ``met``, holds: its span's end is
+    less than a window ago."""
+    both = met.select(*by, "us", F.lit(True).alias("_met")).unionByName(asked.select(*by, "us", F.lit(False).alias("_met")))
+    last = F.max(F.when(F.col("_met"), F.col("us"))).over(Window.partitionBy(*by).orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("holds", F.coalesce(last > F.col("us") - window_us, F.lit(False))).filter("not _met").drop("_met")
+
+
 def islands(intervals: DataFrame, by: list[str]) -> DataFrame:
     """Merged [s, e) intervals of each group; ones that touch join."""
     w = Window.partitionBy(*by).orderBy("s", "e")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fields import PROCESS, fields_of
@@ -108,6 +108,35 @@ def sequence_assignments(pattern: Pattern, rows: DataFrame, events: DataFrame, w
     return rows
 
 
+def earliest(pattern: Pattern, assignments: DataFrame) -> DataFrame:
+    """Of each binding's assignments the first in the order of the steps' times and event ids: the roles, t0.., id0.., and the
+    captures as an array of (name, event_id)."""
+    names, steps = [f"r_{r.id}" for r in pattern.roles], pattern.sequence.steps
+    chosen = assignments.groupBy(*names).agg(F.min(F.struct(*(c for k in range(len(steps)) for c in (f"t{k}", f"id{k}")))).alias("x"))
+    named = [F.struct(F.lit(s.capture).alias("name"), F.col(f"x.id{k}").alias("event_id")) for k, s in enumerate(steps) if s.capture]
+    return chosen.select(*names, "x.*", (F.array(*named) if named else F.array().cast("array<struct<name:string,event_id:bigint>>")).alias("captures"))
+
+
+def requirement_evidence(pattern: Pattern, found: DataFrame, events: DataFrame, window_us: int = WINDOW_US, examples: int = 10) -> DataFrame:
+    """(key, us, evidence): event ids that explain each finding's requirements at its time: the first example in the window
+    of a requirement, and the latest ``examples`` of a threshold's span, in the order of the requirements."""
+    parts = []
+    for role in pattern.roles:
+        for number, need in enumerate(role.events):
+            span = (need.within_us or window_us) if need.count else window_us
+            side = requirement_events(events, need).select(F.col("proc").alias("_p"), micros(F.col("ts")).alias("_t"), F.col("event_id").alias("_id"))
+            near = found.select("key", "us", F.col(f"r_{role.id}").alias("_p")).join(side, "_p").filter((F.col("_t") <= F.col("us")) & (F.col("_t") > F.col("us") - span))
+            order = [F.desc("_t"), F.desc("_id")] if need.count else [F.asc("_t"), F.asc("_id")]
+            ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("key", "us").orderBy(*order))).filter(F.col("_n") <= (examples if need.count else 1))
+            parts.append(ranked.select("key", "us", F.lit(1 if need.count else 0).alias("_kind"), F.lit(f"{role.id} {number:04d}").alias("_of"), "_t", "_id"))
+    if not parts:
+        return found.select("key", "us", F.array().cast("array<bigint>").alias("evidence"))
+    gathered = reduce(DataFrame.unionByName, parts).groupBy("key", "us").agg(F.array_sort(F.collect_list(F.struct("_kind", "_of", "_t", "_id"))).alias("x"))
+    none = F.array().cast("array<bigint>")
+    ids = lambda kind: F.transform(F.filter("x", lambda e: e["_kind"] == kind), lambda e: e["_id"].cast("bigint"))
+    return found.select("key", "us").join(gathered, ["key", "us"], "left").select("key", "us", F.coalesce(out.evidence(none, ids(0), ids(1)), none).alias("evidence"))
+
+
 def match_intervals(pattern: Pattern, processes: DataFrame, events: DataFrame, edges: DataFrame | None = None, window_us: int = WINDOW_US, tolerance_us: int = TOLERANCE_US) -> DataFrame:
     """(r_<role>.., s, e) in microseconds: when each binding matches."""
     if not pattern.roles:

@@ -447,3 +447,6 @@ def flagship(spark, sf_dir) -> DataFrame:
     found = dsl.load(text).patterns[0]
     rows = matcher.find(found, processes(spark, sf_dir), tele(spark, sf_dir), _edges(spark, sf_dir), window_us=DAY)
     return findings.rate_limit(rows, DAY, 20).filter("kept").select("rule", "severity", "title", "us", "key")
+
+
+from . import more_queries  # noqa: E402, F401  registers further queries
