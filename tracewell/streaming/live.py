@@ -1,31 +1,54 @@
 """Live detection: Structured Streaming micro-batches through the batch plans.
 
-State is two Parquet tables in a shared folder: the events of the last two windows, and the findings reported so far. A
-batch evaluates the retained events with its own, so late events count while they are inside the window, and reports what
-is new by (key, time). Each batch writes under its number, so a batch that is repeated after a failure replaces itself.
+State lies in two Parquet tables in a shared folder, by batch and by a bucket of time, so that a batch reads only the buckets
+it needs: the events of the last two windows, which a batch evaluates with its own (older ones are late, and dropped), and
+the findings, of which those since the last rate window of their rule opened tell how many more it may report. Events that
+have expired are deleted. Each batch writes under its number, so a batch that is repeated after a failure replaces itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.findings import rate_limit
 from ..operators.thresholds import micros
 from ..plans import dsl, matcher
 
+_FINDINGS = "rule string, severity string, title string, us long, key string, most int, kept boolean, opened long"
+
 
 class LiveDetector:
     def __init__(self, spark: SparkSession, found: dsl.PatternSet, processes: DataFrame, folder: str, window_us: int = matcher.WINDOW_US):
         self.spark, self.found, self.processes, self.folder, self.window_us = spark, found, processes, folder.rstrip("/"), window_us
 
-    def _read(self, name: str, schema, batch_id: int) -> DataFrame:
-        """What batches before this one have written."""
-        path = f"{self.folder}/{name}"
-        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not jvm.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+    def _files(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _read(self, name: str, schema, batch_id: int, since_us: int) -> DataFrame:
+        """What batches before this one have written, from the bucket of ``since_us`` on."""
+        fs, at = self._files(f"{self.folder}/{name}")
+        if not fs.exists(at):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch_id)
+        stored = self.spark.read.schema(f"{schema if isinstance(schema, str) else ', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in schema)}, batch long, bucket long").parquet(f"{self.folder}/{name}")
+        return stored.filter((F.col("batch") < batch_id) & (F.col("bucket") >= since_us // self.window_us)).drop("batch", "bucket")
+
+    def _write(self, rows: DataFrame, name: str, us, batch_id: int) -> None:
+        rows.withColumn("bucket", F.floor(us / self.window_us).cast("long")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch_id}")
+
+    def _expire(self, before_us: int) -> None:
+        """Delete the events of batches all of whose buckets are past."""
+        fs, at = self._files(f"{self.folder}/events")
+        if not fs.exists(at):
+            return
+        for batch in fs.listStatus(at):
+            buckets = [x.getPath().getName() for x in fs.listStatus(batch.getPath()) if x.getPath().getName().startswith("bucket=")]
+            if buckets and all(int(b.removeprefix("bucket=")) < before_us // self.window_us for b in buckets):
+                fs.delete(batch.getPath(), True)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -33,20 +56,38 @@ class LiveDetector:
         if top is None:
             batch.unpersist()
             return
-        stored = batch.withColumn("batch", F.lit(batch_id))
-        old = self._read("events", stored.schema, batch_id).drop("batch").filter(micros(F.col("ts")) > top - 2 * self.window_us)
-        findings = matcher.detect(self.found.patterns, self.processes, old.unionByName(batch), None, self.found.exclusions, self.window_us)
-        reported = self._read("findings", findings.withColumn("batch", F.lit(0)).schema, batch_id)
-        again = reported.groupBy(F.col("key").alias("_key")).agg(F.max("us").alias("_last"))
+        reached = self._top(batch_id)  # by the batches before; what is two windows older is late
+        since = reached - 2 * self.window_us if reached is not None else 0
+        us = micros(F.col("ts"))
+        own = batch.filter(us > since)
+        events = self._read("events", batch.schema, batch_id, since).filter(us > since).unionByName(own)
+        parts = [matcher.find(p, self.processes, events, None, self.found.exclusions, self.window_us).filter(~F.col("excluded")).select("rule", "severity", "title", "us", "key", F.lit(p.max_findings).alias("most")) for p in self.found.patterns]
         # a key is reported again a window after its last report, at the earliest
-        new = findings.join(again, F.col("key") == F.col("_key"), "left").filter((F.col("_last").isNull()) | (F.col("us") - F.col("_last") >= self.window_us)).drop("_key", "_last")
-        new.write.mode("overwrite").parquet(f"{self.folder}/findings/batch={batch_id}")
-        batch.write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch_id}")
+        old = self._read("findings", _FINDINGS, batch_id, since - self.window_us)
+        again = old.groupBy(F.col("key").alias("_key")).agg(F.max("us").alias("_last"))
+        new = reduce(DataFrame.unionByName, parts).join(again, F.col("key") == F.col("_key"), "left").filter(F.col("_last").isNull() | (F.col("us") - F.col("_last") >= self.window_us)).drop("_key", "_last")
+        # the rate windows of a rule go on from the last one that opened
+        opened = old.groupBy(F.col("rule").alias("_rule")).agg(F.max("opened").alias("_opened"))
+        counted = old.join(opened, F.col("rule") == F.col("_rule")).filter(F.col("us") >= F.col("_opened")).select(*new.columns).withColumn("new", F.lit(False))
+        limited = rate_limit(counted.unionByName(new.withColumn("new", F.lit(True))), self.window_us, "most")
+        limited = limited.withColumn("opened", F.min("us").over(Window.partitionBy("rule", "window"))).filter("new")
+        self._write(limited.select("rule", "severity", "title", "us", "key", "most", "kept", "opened"), "findings", F.col("us"), batch_id)
+        self._write(own, "events", us, batch_id)
+        self._expire(max(top, reached or 0) - 2 * self.window_us)
         batch.unpersist()
 
+    def _top(self, batch_id: int) -> int | None:
+        """A time that earlier batches have reached, the start of the last bucket that they wrote events to; none if there are none."""
+        fs, at = self._files(f"{self.folder}/events")
+        if not fs.exists(at):
+            return None
+        names = [x.getPath().getName() for b in fs.listStatus(at) if int(b.getPath().getName().removeprefix("batch=")) < batch_id for x in fs.listStatus(b.getPath())]
+        return max((int(n.removeprefix("bucket=")) * self.window_us for n in names if n.startswith("bucket=")), default=None)
+
     def start(self, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer).start()
 
     def findings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/findings")
+        """What was reported: rule, severity, title, us, key."""
+        return self.spark.read.schema(f"{_FINDINGS}, batch long, bucket long").parquet(f"{self.folder}/findings").filter("kept").select("rule", "severity", "title", "us", "key")
