@@ -63,12 +63,13 @@ def with_component(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def divided(members: DataFrame) -> DataFrame:
-    """(key, node, component, size, least) of the keys of three members or more, which are still in two components or more.
+    """(key, node, component, size, least) of the keys whose members beside the smallest are still in two components or more.
 
-    Of two members both are known to be unlinked, as each was compared with the smallest of its key.
+    Every member was compared with the smallest of its key, so where the others are one component, no pair is left.
     """
-    sizes = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("low != high and size > 2")
-    return members.join(sizes.select("key", "size", "least"), "key")
+    known = stars(members)
+    sizes = known.filter("node != least").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.count(F.lit(1)) + 1).alias("size")).filter("low != high")
+    return known.join(sizes.select("key", "size"), "key")
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
