@@ -105,7 +105,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
     A window is ``window`` consecutive words of an item, or all words of a shorter one; a document word inside any
     occurrence is hit. Each task builds suffix arrays over shards of its documents and binary-searches every test suffix
     in them. Items travel to the tasks in blocks of at most ``block_bytes`` of text, one in memory at a time, so a
-    benchmark of any size can be searched. Null text has no words; null item ids count as an empty name; repeated item
+    benchmark of any size can be searched, though each shard goes through all blocks. Words are compared by 64-bit hashes. Null text has no words; null item ids count as an empty name; repeated item
     ids count once; empty tables on either side give no hits; other columns pass through.
     """
     spark = docs.sparkSession

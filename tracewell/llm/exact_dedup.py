@@ -32,8 +32,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their SHA-256 after replacing each ``[\\x20\\x09-\\x0D]+`` by one space is; of equal texts the
-    smallest id stays. Misra-Gries summaries of all tasks name at most ``counters`` frequent digests (a digest that holds
-    over 1/counters of the rows is always among them); their exact counts and winners, so at most ``counters`` rows, are
+    smallest id stays. Misra-Gries summaries of all tasks name at most ``counters`` frequent digests: a digest that holds over
+    1/counters of a task's rows is in its summary, and those of the largest sums are taken, so a group that fills much of the
+    table is found, and one that is missed only takes the ordinary way; their exact counts and winners, so at most ``counters`` rows, are
     broadcast and settle the hot groups on the map side. All other digests go through one ordinary shuffle.
 
     Null text counts as empty, and empty texts are equal to each other. Null ids never win over others; a group of null
