@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.data import DOCS, awkward, frame
 from tracewell.llm import jaccard as J
-from tracewell.llm._graph import prefix_pairs, rare_features
+from tracewell.llm._graph import feature_counts, prefix_pairs, rare_features
 
 
 def shingles(text):
@@ -114,8 +114,15 @@ def test_prefix_pairs_hold_all_links_and_little_else(spark):
         for _ in range(25):
             own = set(base) - set(rng.sample(base, rng.randint(0, n // 6))) | {rng.randrange(3000) for _ in range(rng.randint(0, n // 6))}
             sets[len(sets)] = own | set(range(5000, 5000 + rng.choice([0, 3])))
-    rows = spark.createDataFrame([(k, f, len(s)) for k, s in sets.items() for f in s], "node long, feature long, size int")
-    rare = rare_features(rows, J.SHARE).withColumn("component", F.col("node"))
+    texts = spark.createDataFrame([(k, " ".join(map(str, s))) for k, s in sets.items()], "node long, text string")
+
+    def numbers(column):
+        own = [np.array(t.split(), np.uint64) for t in column.to_pylist()]
+        return np.repeat(np.arange(len(own)), [len(s) for s in own]), np.concatenate([np.zeros(0, np.uint64), *own])
+
+    counts = feature_counts(texts, numbers)
+    assert counts.sum() == sum(map(len, sets.values()))
+    rare = rare_features(texts, numbers, J.SHARE).withColumn("component", F.col("node"))
     got = {(r["a"], r["b"]) for r in prefix_pairs(rare, J.SHARE).collect()}
     want = {(a, b) for a in sets for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert want <= got and len(want) > 30 and len(got) < len(sets) * (len(sets) - 1) / 10

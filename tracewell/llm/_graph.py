@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import stash
+from ._hash import mix
+from ._util import batch_of, chunks, stash
+
+#: Features are counted in so many cells by hash, a power of two: 8 MB of sums at any size of the input.
+CELL_BITS = 20
+#: (row, hash) of the distinct features of each text, rows ascending.
+Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -78,21 +86,54 @@ def cross_pairs(members: DataFrame) -> DataFrame:
     return members.join(other, "key").filter((F.col("node") > F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b").distinct()
 
 
-def rare_features(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(key, node, size, place, low): the features of a set that a prefix filter joins on, from distinct (node, feature, size).
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def feature_counts(texts: DataFrame, features: Features) -> np.ndarray:
+    """How many of the sets have a feature of each cell: an array of 1 << CELL_BITS sums, whatever the size of ``texts``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("cell", pa.int32()), ("sets", pa.int64())])
+        sums = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in chunks(batches):
+            sums += np.bincount(_cells(features(batch.column("text"))[1]), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield batch_of(schema, cell=at.astype(np.int32), sets=sums[at])
+
+    sums = np.zeros(1 << CELL_BITS, np.int64)
+    got = texts.select("text").mapInArrow(run, "cell int, sets long").groupBy("cell").agg(F.sum("sets").alias("sets")).toArrow()
+    sums[got.column("cell").to_numpy()] = got.column("sets").to_numpy()
+    return sums
 
-    A set's features are ordered by how many of the sets have them, rarest first. Of two sets whose Jaccard similarity is
-    ``share`` or more, the first common feature lies among the first size - ceil(t * size) + 1 of either, and of the smaller
-    one (column low) even among the first size - ceil(2t / (1 + t) * size) + 1. Features of one set only take places, but
-    give no key.
+
+def rare_features(texts: DataFrame, features: Features, share: tuple[int, int]) -> DataFrame:
+    """(key, node, size, place, low): the features of a set that a prefix filter joins on, from (node, text).
+
+    All sets order their features alike, by the count of the feature's cell and then by the feature, so rare ones come first.
+    Of two sets whose Jaccard similarity is ``share`` or more, the first common feature under any such order lies among the
+    first size - ceil(t * size) + 1 of either, and of the smaller one (column low) even among the first
+    size - ceil(2t / (1 + t) * size) + 1. A cell's count is never below a feature's own, so one of 1 is of a single set: it
+    takes a place, but gives no key.
     """
     num, den = share
-    common = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    own = Window.partitionBy("node")
-    place = F.row_number().over(own.orderBy("sets", "feature")) + F.col("size") - F.count(F.lit(1)).over(own)
-    upto = lambda a, b: F.expr(f"size - (size * {a} + {b - 1}) div {b} + 1")
-    ranked = rows.join(common, "feature").withColumn("place", place).filter(F.col("place") <= upto(num, den))
-    return ranked.select(F.col("feature").alias("key"), "node", "size", F.col("place").cast("int").alias("place"), (F.col("place") <= upto(2 * num, num + den)).alias("low"))
+    shared_counts = texts.sparkSession.sparkContext.broadcast(feature_counts(texts, features))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("low", pa.bool_())])
+        for batch in chunks(batches):
+            row, h = features(batch.column("text"))
+            sets = shared_counts.value[_cells(h)]
+            order = np.lexsort((h, sets, row))
+            row, h, sets = row[order], h[order], sets[order]
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            size, place = sizes[row], np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] + 1
+            upto = lambda a, b: size - (size * a + b - 1) // b + 1  # noqa: B023, E731
+            keep = (place <= upto(num, den)) & (sets > 1)
+            low = (place <= upto(2 * num, num + den))[keep]
+            yield batch_of(schema, key=h[keep].view(np.int64), node=batch.column("node").take(pa.array(row[keep])), size=size[keep].astype(np.int32), place=place[keep].astype(np.int32), low=low)
+
+    return texts.select("node", "text").mapInArrow(run, "key long, node long, size int, place int, low boolean")
 
 
 def prefix_pairs(members: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -107,13 +148,13 @@ def prefix_pairs(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], share: tuple[int, int], small: int = 24) -> DataFrame:
+def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], texts: DataFrame, features: Features, share: tuple[int, int], small: int = 24) -> DataFrame:
     """The components of all verified pairs that share a key, without pairing off whole groups.
 
     First each member is compared with the smallest of its key. Only keys that still span several components need more:
     those of up to ``small`` members compare the pairs that cross components. The members of larger ones are joined on
-    their rarest features (``features`` gives those of nodes) instead, again first with the smallest that shares one and
-    then under the bounds of a prefix filter, which misses no pair of a similarity of ``share`` or more.
+    their rarest features (``features`` of ``texts``: node, text) instead, again first with the smallest that shares one
+    and then under the bounds of a prefix filter, which misses no pair of a similarity of ``share`` or more.
     """
     links = stash(verify(star_pairs(members)), "verified")
     found = components(links)
@@ -121,7 +162,7 @@ def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], featu
     if rest.isEmpty():
         return found
     large = rest.filter(F.col("size") > small).select("node").distinct()
-    rare = stash(rare_features(features(large), share), "rare")
+    rare = stash(rare_features(texts.join(large, "node", "left_semi"), features, share), "rare")
     apart = lambda: rare.join(found, rare["node"] == found["id"], "left").withColumn("component", F.coalesce("component", "node")).drop("id")
     mixed = Window.partitionBy("key")
     stars_left = apart().withColumn("_low", F.min("component").over(mixed)).withColumn("_high", F.max("component").over(mixed)).filter("_low != _high")

@@ -170,12 +170,10 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, a=batch.column("a").take(pa.array(keep, pa.int64())), b=batch.column("b").take(pa.array(keep, pa.int64())))
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("feature", pa.int64()), ("size", pa.int32())])
-    for batch in chunks(batches):
-        sets = shingle_sets(batch.column("text"))
-        n = np.array([len(s) for s in sets], np.int64)
-        yield batch_of(schema, node=batch.column("node").take(pa.array(np.repeat(np.arange(len(n)), n))), feature=np.concatenate(sets).view(np.int64), size=np.repeat(n, n).astype(np.int32))
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles, rows ascending."""
+    sets = shingle_sets(texts)
+    return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate([np.zeros(0, np.uint64), *sets])
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,10 +208,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         near = sides(pairs, one.select("node", "n", "bits")).mapInArrow(_screen, "a long, b long")
         return sides(near, texts).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    def features(nodes: DataFrame) -> DataFrame:
-        return texts.join(nodes, "node", "left_semi").mapInArrow(_features, "node long, feature long, size int")
-
-    found = link_all(members, verify, features, SHARE)
+    found = link_all(members, verify, texts, _features, SHARE)
     named = rows.join(found, rows["node"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))
     named = stash(named, "classes")
     discard(members, one, texts)

@@ -142,15 +142,14 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, a=batch.column("a").take(keep), b=batch.column("b").take(keep))
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("feature", pa.int64()), ("size", pa.int32())])
-    for batch in chunks(batches):
-        line, h = shingle_hashes(batch.column("text").to_pylist())
-        order = np.lexsort((h, line))
-        line, h = line[order], h[order]
-        new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])])
-        line, h = line[new], h[new]
-        yield batch_of(schema, node=batch.column("node").take(pa.array(line)), feature=h.view(np.int64), size=np.bincount(line)[line].astype(np.int32))
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the distinct shingles, lines ascending."""
+    line, h = shingle_hashes(texts.to_pylist())
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    return line[new], h[new]
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,10 +176,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    def features(nodes: DataFrame) -> DataFrame:
-        return texts.join(nodes, "node", "left_semi").mapInArrow(_features, "node long, feature long, size int")
-
-    found = link_all(members, verify, features, SHARE)
+    found = link_all(members, verify, texts, _features, SHARE)
     classed = seen.join(found, seen["line"] == found["id"], "left").select("doc_id", "no", "line", F.coalesce("component", "line").alias("component"))
     classed = stash(classed, "classes")
     discard(members, texts, seen)
