@@ -156,18 +156,18 @@ def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], texts
     their rarest features (``features`` of ``texts``: node, text) instead, again first with the smallest that shares one
     and then under the bounds of a prefix filter, which misses no pair of a similarity of ``share`` or more.
     """
-    links = stash(verify(star_pairs(members)), "verified")
+    links = stash(verify(star_pairs(members)), "verified", few=True)
     found = components(links)
-    rest = stash(divided(with_component(members, found)), "divided")
+    rest = stash(divided(with_component(members, found)), "divided", few=True)
     if rest.isEmpty():
         return found
     large = rest.filter(F.col("size") > small).select("node").distinct()
-    rare = stash(rare_features(texts.join(large, "node", "left_semi"), features, share), "rare")
+    rare = stash(rare_features(texts.join(large, "node", "left_semi"), features, share), "rare", few=True)
     apart = lambda: rare.join(found, rare["node"] == found["id"], "left").withColumn("component", F.coalesce("component", "node")).drop("id")
     mixed = Window.partitionBy("key")
     stars_left = apart().withColumn("_low", F.min("component").over(mixed)).withColumn("_high", F.max("component").over(mixed)).filter("_low != _high")
     pairs = cross_pairs(rest.filter(F.col("size") <= small)).unionByName(star_pairs(stars_left)).distinct()
-    links = links.unionByName(stash(verify(pairs), "verified"))
+    links = links.unionByName(stash(verify(pairs), "verified", few=True))
     found = components(links)
-    last = stash(verify(prefix_pairs(apart(), share)), "verified")
+    last = stash(verify(prefix_pairs(apart(), share)), "verified", few=True)
     return found if last.isEmpty() else components(links.unionByName(last))

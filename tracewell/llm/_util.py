@@ -28,18 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str, tiny: bool = False) -> DataFrame:
+def stash(df: DataFrame, name: str, tiny: bool = False, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, and survives a lost executor.
 
-    The shuffle files that led to it can go, unless they are likely ``tiny`` and not worth the wait; such a table also gets
-    files of the advisory size, however few, instead of one for each core.
+    The shuffle files that led to it can go, unless they are likely ``tiny`` and not worth the wait; such a table, or one
+    said to need ``few`` files, gets files of the advisory size instead of one for each task.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if tiny:
-        df.hint("rebalance").write.parquet(path)
-    else:
-        df.write.parquet(path)
+    (df.hint("rebalance") if tiny or few else df).write.parquet(path)
+    if not tiny:
         release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
