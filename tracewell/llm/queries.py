@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, langid, line_dedup, packing, passages, pii, suffix_dedup, token_counts
+from . import decontaminate, exact_dedup, jaccard, langid, line_dedup, packing, passages, pii, resample, search, suffix_dedup, token_counts, warc
 from ._util import documents
 
 
@@ -61,7 +61,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_fuzzy_passages, op3_language_id, op4_ngram_jaccard, op5_line_dedup, op6_decontamination, op7_pii, op8_suffix_dedup, op9_token_counts, op10_exact_dedup)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_fuzzy_passages, op3_language_id, op4_ngram_jaccard, op5_line_dedup, op6_decontamination, op7_pii, op8_suffix_dedup, op9_token_counts, op10_exact_dedup, op11_ranked_search, op12_warc, op13_importance_resampling)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": r"""
@@ -69,4 +81,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op11_ranked_search": r"""
+        WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        word AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM low),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM word GROUP BY ALL),
+        size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+        total AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM size),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY ALL),
+        w AS (SELECT item_id, term, floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w FROM asked JOIN df USING (term), total),
+        scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score FROM w JOIN tf USING (term) JOIN size USING (doc_id), total GROUP BY ALL)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) AS q WHERE rank <= 50
+    """,
+    "op12_warc": r"""
+        WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+        k AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS keep FROM t)
+        SELECT page_id, payload_bytes,
+            list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha || '00', ((i * 5) // 4 + 1)::INT, 2))::INT) // (1 << (3 - (i * 5) % 4))) & 31)::INT + 1, 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM k
+    """,
 }
