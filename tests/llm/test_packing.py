@@ -61,6 +61,17 @@ def test_words_match_the_tokenizer_whatever_their_letters():
     assert not wrong
 
 
+def test_every_plain_character_in_context():
+    from tokenizers import Tokenizer
+
+    model, rng = Tokenizer.from_file(WORDS), np.random.default_rng(5)
+    every = [chr(c) for c in range(0x20, 0x250)]
+    texts = [f"{a}{c}{b} {c}{b} {a}{c}" for c in every for a, b in (("a", "b"), ("!", "x"), ("9", "."), ("İ", "é"))]
+    texts += ["".join(rng.choice(every, rng.integers(1, 12))) for _ in range(20_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, packing.encode(texts, WORDS), want, strict=True) if a != b] == []
+
+
 def test_little_padding():
     rng = np.random.default_rng(3)
     lengths = np.minimum(2048, rng.lognormal(6.3, 0.9, 20_000).astype(int) + 1)

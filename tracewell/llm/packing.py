@@ -21,7 +21,9 @@ CACHED_WORDS = 300_000
 GROUP = 100_000
 #: Texts of characters below this one are parted here; others, whose classes depend on the Unicode version, by the tokenizer.
 PLAIN = 0x250
-_ODD = re.compile(f"[\x1c-\x1f\x85{chr(PLAIN)}-\U0010ffff]|<\\|")
+#: Capitals below it whose small letters lie beyond it.
+_RISING = "".join(chr(c) for c in range(PLAIN) if any(ord(x) >= PLAIN and x != "\u0307" for x in chr(c).lower()))
+_ODD = re.compile(f"[\x1c-\x1f\x85{_RISING}{chr(PLAIN)}-\U0010ffff]|<\\|")
 
 
 def _class(kind: str) -> str:
