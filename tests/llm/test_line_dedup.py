@@ -70,6 +70,19 @@ def test_removal_rebuilds_texts(spark):
     assert [r["key"] for r in got.collect()] == ["y"] * 4
 
 
+def test_rows_that_repeat_an_id_keep_their_own_lines(spark):
+    texts = ["the line that both rows have\nonly in the first of them", "only in the second of them\nthe line that both rows have", "the line that both rows have\nof a row without an id", "another row without an id", "twice the very same row", "twice the very same row"]
+    ids = [7, 7, None, None, 9, 9]
+    names = "doc_id long, text string, _of long, _gone string, _letters string, helper0 string, HELPER1 string"
+    docs = spark.createDataFrame([(i, t, 1, "x", "y", "z", "w") for i, t in zip(ids, texts, strict=True)], names)
+    got = L.remove_lines(docs)
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], x) for r in got.collect() for x in r["text"].split("\n") if x]
+    want = {(i, x) for i, t in zip(ids, texts, strict=True) for x in t.split("\n")}
+    assert {x for x in want if x[1] != "the line that both rows have"} <= set(left)
+    assert [x for _, x in left].count("the line that both rows have") == 1 and left.count((9, "twice the very same row")) == 2
+
+
 def test_minhash_estimates_jaccard():
     rng = random.Random(2)
     errors = []

@@ -17,14 +17,15 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where local mode leaves it unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one of the session where local mode
+    leaves it unset (a running session can't set it)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tracewell.shared.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    spark.conf.set("tracewell.shared.dir", path)
     return path
 
 
@@ -73,6 +74,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, in whatever case."""
+    held = {c.lower() for c in df.columns}
+    return [name for k in range(n + len(held)) if (name := f"helper{k}") not in held][:n]
+
+
 def tidy() -> None:
     """Give what Arrow keeps for reuse back to the system at the end of a task: the worker serves other operators, too."""
     pa.default_memory_pool().release_unused()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import chunks, flat, small_batches, tidy
+from ._util import chunks, flat, small_batches, tidy, unused
 
 #: Subwords are runs of so many UTF-8 bytes of the lower-cased text; everything but letters counts as a space.
 ORDERS = (2, 3, 4)
@@ -154,12 +154,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names, (mark,) = docs.columns, unused(docs, 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in chunks(batches, text_col):
-            letters = np.array(batch.column("_letters").to_pylist(), bool)
+            letters = np.array(batch.column(mark).to_pylist(), bool)
             best, score = model.predict(*flat(lower(batch.column(text_col)))) if model.languages else (np.zeros(len(letters), int), np.zeros(len(letters)))
             known = letters & bool(model.languages)
             score = np.where(known, np.clip(score, 0, 1), 0.0)
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays(out, [*names, "lang_pred", "lang_score", "lang_rejected"])
         tidy()
 
-    return docs.withColumn("_letters", F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).mapInArrow(run, schema)
+    return docs.withColumn(mark, F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

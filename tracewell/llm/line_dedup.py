@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._graph import link_all, shared
 from ._hash import Rolling, mix
-from ._util import batch_of, chunks, discard, small_batches, stash
+from ._util import batch_of, chunks, discard, small_batches, stash, unused
 
 SHINGLE = 8
 #: Lines are alike from this Jaccard similarity of their shingle sets.
@@ -81,12 +81,12 @@ def shingles(line: str) -> set[str]:
 
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per line that isn't blank, and one without a line per document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("line", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("no", pa.int32()), ("line", pa.int64())])
     for batch in chunks(batches):
         rows: list[tuple] = []
-        for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            rows.append((d, -1, None))
-            rows += [(d, k, line_id(x)) for k, x in enumerate(lines(text)) if x]
+        for d, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
+            rows.append((d, h, -1, None))
+            rows += [(d, h, k, line_id(x)) for k, x in enumerate(lines(text)) if x]
         yield batch_of(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
 
@@ -153,17 +153,18 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line that isn't blank, and one without a line per document: doc_id, no, line, component, removed.
+    """One row per line that isn't blank, and one without a line per row: doc_id, text_hash, no, line, component, removed.
 
     Lines that are equal but for white space at their ends are one node; MinHash bands propose pairs of nodes, of which
     those with a Jaccard similarity of SHINGLE-character shingles of ALIKE or more are linked; where a band is crowded, its
     lines are compared by the rare shingles that they share, which misses none. Of each component the
-    first line by (doc_id, no) stays. A line shorter than SHINGLE is a shingle of its own. Null and blank texts have no
-    lines; a null id comes first; rows that repeat an id count as one document; an empty table gives an empty result.
+    first line by (doc_id, text_hash, no) stays. A line shorter than SHINGLE is a shingle of its own. Null and blank texts have
+    no lines; a null id comes first; rows that repeat an id with another text are documents of their own, and of rows that
+    repeat both each keeps the lines that stay; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = stash(docs.mapInArrow(_occurrences, "doc_id long, no int, line long"), "lines")
+    seen = stash(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_occurrences, "doc_id long, text_hash long, no int, line long"), "lines")
     members = stash(shared(docs.select("text").mapInArrow(_bands, "key long, node long")), "members")
     wanted = members.select("node").distinct()
     stands = seen.filter("line is not null").join(wanted, F.col("line") == F.col("node"), "left_semi").groupBy("line").agg(F.min("doc_id").alias("stand"))
@@ -177,26 +178,27 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
     found = link_all(members, verify, texts, _features, SHARE)
-    classed = seen.join(found, seen["line"] == found["id"], "left").select("doc_id", "no", "line", F.coalesce("component", "line").alias("component"))
+    classed = seen.join(found, seen["line"] == found["id"], "left").select("doc_id", "text_hash", "no", "line", F.coalesce("component", "line").alias("component"))
     classed = stash(classed, "classes")
     discard(members, texts, seen)
-    kept = classed.filter("line is not null").groupBy("component").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("size"))
+    kept = classed.filter("line is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "no")).alias("first"), F.count(F.lit(1)).alias("size"))
     judged = classed.join(kept.filter("size > 1").select("component", "first"), "component", "left")
-    removed = F.col("first").isNotNull() & ~F.struct("doc_id", "no").eqNullSafe(F.col("first"))
-    return judged.select("doc_id", "no", "line", "component", removed.alias("removed"))
+    removed = F.col("first").isNotNull() & ~F.struct("doc_id", "text_hash", "no").eqNullSafe(F.col("first"))
+    return judged.select("doc_id", "text_hash", "no", "line", "component", removed.alias("removed"))
 
 
 def line_report(classes: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines (not blank), n_removed, removed (line numbers from 0, sorted)."""
-    gone = F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("no"))))
-    return classes.groupBy("doc_id").agg(F.count("line").alias("n_lines"), F.count(F.when(F.col("removed"), 1)).alias("n_removed"), gone.alias("removed"))
+    """One row per document: doc_id, text_hash, n_lines (not blank), n_removed, removed (line numbers from 0, sorted)."""
+    gone = F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("no"))))
+    lines = F.count_distinct(F.when(F.col("line").isNotNull(), F.col("no")))
+    return classes.groupBy("doc_id", "text_hash").agg(lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
 
 
-def _rebuild(names: list[str], text_col: str):
+def _rebuild(names: list[str], text_col: str, gone_col: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            for k, gone in enumerate(batch.column("_gone").to_pylist()):
+            for k, gone in enumerate(batch.column(gone_col).to_pylist()):
                 if gone and texts[k] is not None:
                     off = set(gone)
                     texts[k] = "\n".join(x for no, x in enumerate(texts[k].split("\n")) if no not in off)
@@ -207,6 +209,8 @@ def _rebuild(names: list[str], text_col: str):
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines cut from their texts; documents, also ones left without text, and columns stay."""
-    report = line_report(line_classes(docs, id_col, text_col)).filter("n_removed > 0").select(F.col("doc_id").alias("_of"), F.col("removed").alias("_gone"))
-    joined = docs.join(report, docs[id_col].cast("long").eqNullSafe(report["_of"]), "left").drop("_of")
-    return joined.mapInArrow(_rebuild(docs.columns, text_col), docs.schema)
+    of, key, gone = unused(docs, 3)
+    report = line_report(line_classes(docs, id_col, text_col)).filter("n_removed > 0").select(F.col("doc_id").alias(of), F.col("text_hash").alias(key), F.col("removed").alias(gone))
+    same = docs[id_col].cast("long").eqNullSafe(report[of]) & (F.xxhash64(docs[text_col].cast("string")) == report[key])
+    joined = docs.join(report, same, "left").drop(of, key)
+    return joined.mapInArrow(_rebuild(docs.columns, text_col, gone), docs.schema)
