@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell import queries as Q
 from tracewell.functions import scalars as S
 from tracewell.functions.predicates import PatternError, block, check
-from tracewell.operators import findings, graph
+from tracewell.operators import findings, graph, lifecycle
 from tracewell.plans import dsl, matcher
 from tracewell.streaming.live import LiveDetector
 
@@ -145,7 +145,9 @@ def test_roles_must_be_connected_and_saving_keeps_rejected_entries(tmp_path):
     assert [p.name for p in again.patterns] == ["fine"] and [n for n, _ in again.problems] == ["split"]
 
 
-def test_rate_windows_of_a_long_rule(spark):
+@pytest.mark.parametrize("segment", [1, 3, 64])
+def test_rate_windows_of_a_long_rule(spark, monkeypatch, segment):
+    monkeypatch.setattr(findings, "SEGMENT_WINDOWS", segment)
     rng, w = random.Random(2), 50
     rows = [(rng.choice(["a", "b", None]), rng.randrange(3000)) for _ in range(2500)]
     got = {(r["rule"], r["us"]): r["window"] for r in findings.rate_limit(spark.createDataFrame([(r, t, i) for i, (r, t) in enumerate(rows)], "rule string, us long, key int"), w).collect()}
@@ -157,6 +159,68 @@ def test_rate_windows_of_a_long_rule(spark):
             assert got[(rule, t)] == number
 
 
+def test_windows_of_one_rule_are_opened_by_many_tasks(spark):
+    """Gaps longer than segments, and every row under one rule: the segments, not the rule, are the tasks' share."""
+    rng = random.Random(8)
+    times = sorted({at * 10_000 + rng.randrange(4000) for at in (-3, 0, 1, 2, 40, 41) for _ in range(300)})
+    df = spark.createDataFrame([("r", t) for t in times], "rule string, us long")
+    got = {r["us"]: r["opens"] for r in findings._windows(df, "rule", "us", 50).collect()}
+    first, want = None, {}
+    for t in times:
+        want[t] = first is None or t - first >= 50
+        first = t if want[t] else first
+    assert got == want
+    plan = findings._windows(df, "rule", "us", 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_segment") > 4 and "hashpartitioning(rule#" in plan
+    segments = df.select((F.col("us") / (50 * findings.SEGMENT_WINDOWS)).cast("long")).distinct().count()
+    assert segments > 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lasting_matches_are_reported_at_each_lapse(spark, seed):
+    rng, w = random.Random(seed), 20
+    rows = [(f"k{rng.randrange(6)}", (s := rng.randrange(400)), s + rng.randint(1, 60), (rng.randrange(3),)) for _ in range(60)]
+    before = {f"k{k}": rng.choice([None, rng.randrange(30)]) for k in range(6)}
+    got = findings.lasting(spark.createDataFrame([(*r, before[r[0]]) for r in rows], "key string, s long, e long, bound struct<r_a:int>, last long"), w)
+    want = []
+    for key, last in before.items():
+        for t in range(500):  # every instant
+            bound = [b for k, s, e, b in rows if k == key and s <= t < e]
+            if bound and (last is None or t - last >= w):
+                want.append((key, t, min(bound)))
+                last = t
+    assert sorted((r["key"], r["us"], tuple(r["bound"])) for r in got.collect()) == want
+
+
+def test_descent_plans_one_join_a_generation(spark):
+    edges = spark.createDataFrame([(f"p{i // 2}", f"p{i}") for i in range(1, 40)], "parent string, child string")
+    plan = graph.descendants(edges, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 15
+    got = {(r["ancestor"], r["descendant"], r["depth"]) for r in graph.descendants(edges, 16).collect()}
+    want = {(f"p{i >> d}", f"p{i}", d) for i in range(1, 40) for d in range(1, 7) if i >> (d - 1)}
+    assert {x for x in got if x[0] != "p0" or x[2] < 7} >= {x for x in want if int(x[0][1:]) > 0} and all(int(a[1:]) == int(b[1:]) >> d for a, b, d in got)
+
+
+def test_image_changes_and_evidence(spark):
+    """A process that becomes a shell and leaves it again; its findings, and what they show."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    procs = [("p", 1, 0, at(0), None, "init", "/sbin/init", "init", "root")]
+    named = EVENTS + ", name string, cmdline string, user string"
+    rows = [(1, 1, "NETWORK_CONNECT", None, None, None, None), (2, 10, "PROCESS_EXEC", "sh", "/bin/sh", "sh -c", ""), (3, 12, "PROCESS_EXEC", "", "", "", "nobody"), (4, 14, "PROCESS_EXEC", "sh", "/bin/sh", "sh -c", "nobody"), (5, 20, "FILE_CREATE", None, None, None, None), (6, 25, "PROCESS_EXEC", "ls", "/bin/ls", "ls", "www"), (7, 200, "FILE_CREATE", None, None, None, None)]
+    events = spark.createDataFrame([(i, at(s), "p", kind, 80, "/tmp/x", exe, name, cmd, user) for i, s, kind, name, exe, cmd, user in rows], named)
+    p = spark.createDataFrame(procs, PROCS)
+    role = dsl.Role("a", {"name": "sh"}, events=[dsl.Requirement("NETWORK_CONNECT")])
+    us = lambda s: int((at(s) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+    found = matcher.detect([dsl.Pattern("shell", roles=[role])], p, events, window_us=60_000_000).collect()
+    assert [(r["us"], r["roles"], r["evidence"]) for r in found] == [(us(10), {"a": "p"}, [1])]
+    assert [x["exe"] for x in found[0]["previous_images"]["a"]] == ["/sbin/init"] and found[0]["finding_id"] == f"finding-{us(10)}000"
+    ran = [(r["exe"], r["user"]) for r in lifecycle.images(p, events).orderBy("s").collect()]
+    assert ran == [("/sbin/init", "root"), ("/bin/sh", "root"), ("/bin/ls", "www")]
+    steps = dsl.Sequence([dsl.Step("a", "NETWORK_CONNECT", {}, "c"), dsl.Step("a", "FILE_CREATE", {"path": {"not": ""}})], 50_000_000, 0)
+    both = matcher.detect([dsl.Pattern("seq", roles=[dsl.Role("a", {"user": "www"})], sequence=steps)], p, events, window_us=60_000_000).collect()
+    assert [(r["us"], r["evidence"], [tuple(c) for c in r["captures"]]) for r in both] == [(us(25), [1, 5], [("c", 1)])]
+
+
 def test_a_running_stream_survives_restarts_and_agrees_with_the_batch(spark, tmp_path):
     """Ordered files of events, one micro-batch a file; the query is stopped and started again from its checkpoint."""
     procs, events = world(6, 240)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import offset_text, severity_rank
 
@@ -15,31 +19,129 @@ def dedup_key(rule: Column, processes: list[Column]) -> Column:
     return F.concat_ws("|", rule, F.array_join(F.array_sort(F.array(*(p.cast("string") for p in processes))), ","))
 
 
+#: Windows that one segment of a group's times spans: of a segment's times, those of one window go through the group's task.
+SEGMENT_WINDOWS = 64
+
+
+def _grouped(batches: Iterable[pa.RecordBatch], by: list[str], held: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """(group, columns) of rows that come in the order of their groups; the columns ``held`` of one group at a time."""
+    now, parts = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+        at = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i] == keys[at]:
+                continue
+            if parts and keys[at] != now:
+                yield now, {c: np.concatenate([p[c] for p in parts]) for c in held}
+                parts = []
+            now = keys[at]
+            parts.append({c: batch.column(c).slice(at, i - at).to_numpy(zero_copy_only=False) for c in held})
+            at = i
+    if parts:
+        yield now, {c: np.concatenate([p[c] for p in parts]) for c in held}
+
+
+def _openings(t: np.ndarray, window_us: int) -> np.ndarray:
+    """For each of a segment's sorted times the next one that opens a window if it does; the length where there is none."""
+    return np.searchsorted(t, t + window_us)
+
+
 def _windows(times: DataFrame, group: str, time: str, window_us: int) -> DataFrame:
     """(group, time, window, opens) of distinct times: a window opens at a group's first time, and at the first one
     ``window_us`` or more after the last opening.
 
-    Where a window opens depends on all times before, so a group is read in order, as a stream that keeps two numbers; it is
-    never gathered.
+    Where a window opens depends on all times before, but only through the last opening. So each segment of SEGMENT_WINDOWS
+    windows is mapped by itself, in parallel, from the time at which a window first opens in it to the last such time and their number:
+    only times in the segment's first window, and the first after them, can be that. One pass over these few rows finds
+    where each segment of a group is entered, and the segments are then numbered, again in parallel.
+    """
+    kind, span = times.schema[group], SEGMENT_WINDOWS * window_us
+    held = times.select(group, F.col(time).cast("long").alias(time)).withColumn("_segment", F.floor(F.col(time) / span).cast("long"))
+    entry = T.StructType([kind, *(T.StructField(c, T.LongType()) for c in ("_segment", "_entry", "_last", "_count"))])
+
+    def entries(batches):
+        for (g, segment), c in _grouped(batches, [group, "_segment"], [time]):
+            t = c[time]
+            nxt, n = _openings(t, window_us), len(t)
+            last, count = np.arange(n), np.ones(n, np.int64)
+            jump = np.append(nxt, n)
+            last, count = np.append(last, -1), np.append(count, 0)
+            while (jump[:-1] < n).any():  # twice as far each time
+                last, count = np.where(jump < n, last[jump], last), count + count[jump]
+                jump = jump[jump]
+            m = min(n, int(np.searchsorted(t, segment * span + window_us)) + 1)
+            yield pa.RecordBatch.from_pydict({group: [g] * m, "_segment": [segment] * m, "_entry": t[:m], "_last": t[last[:m]], "_count": count[:m]}, schema=to_arrow_schema(entry))
+
+    def chain(batches):
+        now, state, number = object(), None, 0
+        for (g, segment), c in _grouped(batches, [group, "_segment"], ["_entry", "_last", "_count"]):
+            if g != now:
+                now, state, number = g, None, 0
+            at = 0 if state is None else int(np.searchsorted(c["_entry"], state + window_us))
+            found = at < len(c["_entry"])
+            yield pa.RecordBatch.from_pydict({group: [g], "_segment": [segment], "_entry": [int(c["_entry"][at]) if found else None], "_last": [None], "_count": [number]}, schema=to_arrow_schema(entry))
+            if found:
+                state, number = int(c["_last"][at]), number + int(c["_count"][at])
+
+    out = T.StructType([kind, T.StructField(time, T.LongType()), T.StructField("window", T.LongType()), T.StructField("opens", T.BooleanType())])
+
+    def number(batches):
+        for (g, _), c in _grouped(batches, [group, "_segment"], [time, "_entry", "_count"]):
+            t, opens = c[time], np.zeros(len(c[time]), bool)
+            nxt = _openings(t, window_us)
+            at = len(t) if c["_entry"][0] is None or c["_entry"][0] != c["_entry"][0] else int(np.searchsorted(t, int(c["_entry"][0])))
+            while at < len(t):  # as often as a window opens
+                opens[at] = True
+                at = int(nxt[at])
+            yield pa.RecordBatch.from_pydict({group: [g] * len(t), time: t, "window": c["_count"].astype(np.int64) + np.cumsum(opens), "opens": opens}, schema=to_arrow_schema(out))
+
+    mapped = held.repartition(group, "_segment").sortWithinPartitions(group, "_segment", time).mapInArrow(entries, entry)
+    entered = mapped.repartition(group).sortWithinPartitions(group, "_segment", "_entry").mapInArrow(chain, entry)
+    joined = held.join(entered.select(F.col(group).alias("_group"), F.col("_segment").alias("_s"), "_entry", "_count"), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_segment") == F.col("_s")))
+    return joined.select(group, "_segment", time, "_entry", "_count").repartition(group, "_segment").sortWithinPartitions(group, "_segment", time).mapInArrow(number, out)
+
+
+def lasting(held: DataFrame, window_us: int) -> DataFrame:
+    """(key, us, bound) of the reports of matches that hold during [s, e) with the binding ``bound``: a key is reported when a
+    match begins, and again when a window has passed since its last report while it lasts, or at the next beginning after that.
+
+    Of the bindings that hold at a report the smallest is named. ``held`` may have ``last``, a key's last report before. A
+    key's intervals are read in order, and only those of one uninterrupted match are held.
     """
-    schema = T.StructType([times.schema[group], T.StructField(time, T.LongType()), T.StructField("window", T.LongType()), T.StructField("opens", T.BooleanType())])
-    ordered = times.select(group, F.col(time).cast("long").alias(time)).repartition(group).sortWithinPartitions(group, time)
+    source = held if "last" in held.columns else held.withColumn("last", F.lit(None).cast("long"))
+    out = T.StructType([held.schema["key"], T.StructField("us", T.LongType()), held.schema["bound"]])
 
     def run(batches):
-        now, first, number = object(), None, 0
-        for batch in batches:
-            windows, opens = [], []
-            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if g != now:
-                    now, first, number = g, None, 0
-                new = first is None or t - first >= window_us
-                if new:
-                    first, number = t, number + 1
-                windows.append(number)
-                opens.append(new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(windows, pa.int64()), pa.array(opens, pa.bool_())], [group, time, "window", "opens"])
+        key, last, open_, until, rows = object(), None, [], None, []
+
+        def close():
+            nonlocal last
+            if not open_:
+                return
+            at = open_[0][0] if last is None else max(open_[0][0], last + window_us)
+            while at < until:
+                rows.append((key, at, min((b for s, e, b in open_ if s <= at < e), key=lambda b: tuple(b.values()))))
+                last, at = at, at + window_us
 
-    return ordered.mapInArrow(run, schema)
+        for batch in batches:
+            rows.clear()
+            for k, s, e, bound, before in zip(*(batch.column(c).to_pylist() for c in ("key", "s", "e", "bound", "last")), strict=True):
+                if k != key or s > until:
+                    close()
+                    if k != key:
+                        key, last = k, before
+                    open_, until = [], e
+                open_.append((s, e, bound))
+                until = max(until, e)
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(("key", "us", "bound"), map(list, zip(*rows, strict=True)), strict=True)), schema=to_arrow_schema(out))
+        rows.clear()
+        close()
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(("key", "us", "bound"), map(list, zip(*rows, strict=True)), strict=True)), schema=to_arrow_schema(out))
+
+    return source.select("key", "s", "e", "bound", "last").repartition("key").sortWithinPartitions("key", "s", "e").mapInArrow(run, out)
 
 
 def suppress(matches: DataFrame, window_us: int, key: str = "key", time: str = "us") -> DataFrame:
@@ -50,8 +152,8 @@ def suppress(matches: DataFrame, window_us: int, key: str = "key", time: str = "
 def rate_limit(findings: DataFrame, window_us: int, most: Column | int | str = 20, rule: str = "rule", time: str = "us", order: str = "key") -> DataFrame:
     """The findings with kept (among the first ``most`` of the rule in its window) and window (number, from 1).
 
-    A window opens at the first finding after the last window. The distinct times of a rule are read in order, to find where
-    its windows open; ranks within a window come from an ordinary window function.
+    A window opens at the first finding after the last window; where, is found segment by segment. Ranks within a window come
+    from an ordinary window function.
     """
     opened = _windows(findings.select(rule, time).distinct(), rule, time, window_us).select(F.col(rule).alias("_rule"), F.col(time).alias("_us"), "window")
     joined = findings.join(opened, F.col(rule).eqNullSafe(F.col("_rule")) & (F.col(time) == F.col("_us"))).drop("_rule", "_us")
@@ -152,6 +254,22 @@ def timeline(events: DataFrame, finding: str = "finding_id", time: str = "us", o
     return events.withColumns({"place": F.row_number().over(w), "offset": offset_text(F.col(time) - F.min(time).over(w.rowsBetween(Window.unboundedPreceding, 0)))})
 
 
+def with_ids(findings: DataFrame, time: str = "us", order: str = "key") -> DataFrame:
+    """``findings`` with finding_id, from the time in nanoseconds; of those of one microsecond each has its own."""
+    place = F.row_number().over(Window.partitionBy(time).orderBy(order)) - 1
+    return findings.withColumn("finding_id", F.concat(F.lit("finding-"), F.col(time).cast("string"), F.lpad(place.cast("string"), F.greatest(F.lit(3), F.length(place.cast("string"))), F.lit("0"))))
+
+
+def derived_captures(evidence: Column, steps: list[tuple[str, str]]) -> Column:
+    """What a stored finding captured, from its evidence (an array of struct(event_id, type)) and the (type, capture) of the
+    steps that its rule has now: the first events are those of the steps, if their types are; else nothing is known."""
+    wanted = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(c).alias("name")) for t, c in steps))
+    first = F.slice(evidence, 1, len(steps))
+    fits = (F.size(first) == len(steps)) & F.forall(F.zip_with(first, wanted, lambda e, w: F.coalesce(e["type"] == w["type"], F.lit(False))), lambda x: x)
+    pairs = F.zip_with(first, wanted, lambda e, w: F.struct(w["name"].alias("name"), e["event_id"].alias("event_id")))
+    return F.when(fits, F.filter(pairs, lambda p: p["name"] != "")).otherwise(F.slice(pairs, 1, 0))
+
+
 def recent_findings(rows: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` stored findings, oldest first: an unknown status is new; a row without an id is named after its
     number and titled by its line."""

@@ -41,17 +41,20 @@ def parent_edges(processes: DataFrame) -> DataFrame:
 
 
 def descendants(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(ancestor, descendant, depth) up to ``max_depth`` generations: that many self-joins, each linear in the edges,
-    as a process has one parent."""
+    """(ancestor, descendant, depth) up to ``max_depth`` generations.
+
+    A process has one parent, so the rows of one pass carry the ancestors found so far, and each generation is one join with
+    the edges: ``max_depth`` - 1 joins in all, of as many rows as there are edges.
+    """
     if not 1 <= max_depth <= MAX_DEPTH:
         raise ValueError(f"max_depth must be between 1 and {MAX_DEPTH}")
     up = edges.select(F.col("parent").alias("_up"), F.col("child").alias("_down"))
-    level = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"))
-    out = level
-    for depth in range(2, max_depth + 1):
-        level = level.join(up, F.col("ancestor") == F.col("_down")).select(F.col("_up").alias("ancestor"), "descendant", F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    rows = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("_top"), F.array("parent").alias("_above"))
+    for _ in range(2, max_depth + 1):
+        met = rows.join(up, F.col("_top") == F.col("_down"), "left")
+        rows = met.select("descendant", F.col("_up").alias("_top"), F.when(F.col("_up").isNotNull(), F.array_append("_above", F.col("_up"))).otherwise(F.col("_above")).alias("_above"))
+    found = rows.select("descendant", F.posexplode("_above").alias("_n", "ancestor"))
+    return found.select("ancestor", "descendant", (F.col("_n") + 1).alias("depth"))
 
 
 def snapshot_tree(snapshot: DataFrame) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .thresholds import micros
+
+#: Later than any time in microseconds.
+FOREVER = (1 << 62) - 1
+
 
 def snapshot_diff(snapshots: DataFrame, key: list[str], number: str = "snap", started: str = "START", ended: str = "EXIT") -> DataFrame:
     """(snap, key.., event) of what appears in a snapshot, or is gone from it, against the one before. The first is the
@@ -52,6 +57,20 @@ def image_history(execs: DataFrame, keep: int = 4) -> DataFrame:
     return real.select("proc", "image", F.col("at").alias("valid_from"), F.lead("at").over(w).alias("valid_to"), before.alias("previous"))
 
 
+def images(processes: DataFrame, events: DataFrame) -> DataFrame:
+    """(proc, name, exe, cmdline, user, s, e): the image of each process over time, in microseconds, from the one it started
+    with on. A PROCESS_EXEC event replaces it, unless it says nothing or nothing new; a user that it doesn't tell stays."""
+    fields = ("name", "exe", "cmdline")
+    text = lambda df, c: F.coalesce(F.col(c), F.lit("")) if c in df.columns else F.lit("")
+    first = processes.select("proc", *(text(processes, c).alias(c) for c in (*fields, "user")), F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("_n"))
+    execs = events.filter(F.col("type") == "PROCESS_EXEC").select("proc", *(text(events, c).alias(c) for c in (*fields, "user")), micros(F.col("ts")).alias("s"), F.col("event_id").cast("long").alias("_n"))
+    order = Window.partitionBy("proc").orderBy(F.col("_n") >= 0, "s", "_n")
+    said = first.unionByName(execs.filter("name != '' or exe != '' or cmdline != ''")).withColumn("_image", F.struct(*fields)).withColumns({"_old": F.lag("_image").over(order), "_known": F.first("_n").over(order) < 0})
+    kept = said.filter("_known and (_old is null or _old != _image)")
+    user = F.coalesce(F.last(F.when(F.col("user") != "", F.col("user")), ignorenulls=True).over(order), F.lit(""))
+    return kept.withColumns({"user": user, "e": F.coalesce(F.lead("s").over(order), F.lit(FOREVER))}).select("proc", *fields, "user", "s", "e").filter("s < e")
+
+
 def reconcile(tracked: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
     """Tracked but not listed: an inferred exit; listed but not tracked: a reconciled start."""
     gone = tracked.join(listed, key, "left_anti").select(*key, F.lit("PROCESS_EXIT").alias("event"))

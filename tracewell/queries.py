@@ -273,7 +273,7 @@ ORACLE_SQL["rate_summary"] = f"{_RATE} SELECT rule, min(us) + {5 * DAY} AS us, '
 
 @query()
 def shipped_patterns(spark, sf_dir):
-    return matcher.detect(shipped().patterns, processes(spark, sf_dir), tele(spark, sf_dir), _edges(spark, sf_dir), window_us=3 * DAY)
+    return matcher.detect(shipped().patterns, processes(spark, sf_dir), tele(spark, sf_dir), _edges(spark, sf_dir), window_us=3 * DAY).select("rule", "severity", "title", "us", "key")
 
 
 def _snap(spark, sf_dir):
@@ -449,4 +449,4 @@ def flagship(spark, sf_dir) -> DataFrame:
     return findings.rate_limit(rows, DAY, 20).filter("kept").select("rule", "severity", "title", "us", "key")
 
 
-from . import more_queries  # noqa: E402, F401  registers further queries
+from . import engine_queries, more_queries  # noqa: E402, F401  register further queries
