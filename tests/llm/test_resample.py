@@ -49,23 +49,40 @@ def test_matches_brute_force(spark):
 def test_packed_features_come_back(slices):
     texts = [*awkward(4), "a a a a b a a", "x"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    made = R.Features(batch)
+    made = R.Words(batch)
     want = Counter(f for t in texts for f in grams(t)[1])
     got, totals = Counter(), np.zeros(R.BUCKETS, np.int64)
     for to in range(slices):
         known = R.Dictionary(totals)
         for slice_, n, size, body in made.packed(slices):
             if slice_ == to:
-                names, counts, buffer, cuts = R.unpack(n, size, body)
-                got.update({buffer[i : j - 1].tobytes().decode(): int(c) for i, j, c in zip(cuts, cuts[1:], counts)})
-                known.add(names, counts, buffer, cuts)
+                names, counts, text, begins, sizes = R.unpack(n, size, body)
+                got.update({b"".join(text[i : i + k].tobytes() for i, k in zip(b, s)).decode()[:-1]: int(c) for b, s, c in zip(begins, sizes, counts)})
+                known.add(names, counts, text, begins, sizes)
                 known.merge()
-                known.add(names, counts * 2, buffer, cuts)
+                known.add(names, counts * 2, text, begins, sizes)
         known.merge()
     assert got == want
     assert totals.sum() == 3 * sum(want.values()) and all(totals[zlib.crc32(f.encode()) % R.BUCKETS] >= 3 * c for f, c in want.items())
 
 
+def test_checksums_of_runs_follow_from_those_of_words():
+    texts = ["a bb ccc " + "x" * 64 + " " + "y" * 65 + " é7 " + "z" * 300 + " d", "", "one", *awkward(6)[4:9]]
+    words = R.Words(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
+    for n in (1, 2, 3):
+        doc, crc = words.hashes(n)
+        want = [(k, zlib.crc32(" ".join(w[i : i + n]).encode())) for k, t in enumerate(texts) for w in [grams(t)[0]] for i in range(len(w) - n + 1)]
+        assert list(zip(doc.tolist(), crc.tolist(), strict=True)) == want
+
+
+def test_a_vocabulary_too_large_for_one_number(monkeypatch):
+    words = R.Words(pa.RecordBatch.from_arrays([pa.array(awkward(3)[4:9])], ["text"]))
+    want = words.distinct_runs()
+    words.hash = range(1 << 30)  # only its length counts here
+    got = words.distinct_runs()
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
 def test_empty_tables(spark):
     docs, target = frame(spark, ["a b c", None]), spark.createDataFrame([(1, "b")], "item_id long, text string")
     assert R.resample(docs.limit(0), target).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,60 +24,80 @@ INSIDE = np.zeros(256, bool)
 INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-class Features:
-    """The distinct features of some texts: strings ``buffer[start:stop]``, ordered so that those with equal first words meet."""
+def words_with_spaces(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes ``buffer[begin:begin + size]`` of all, one after the other."""
+    ends = np.cumsum(size)
+    return buffer[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - begin, size)]
+
+
+def name(hashes: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+    """64-bit names of runs of words, by the hashes of their words, 0 for words that a run doesn't have."""
+    out = length.astype(np.uint64)
+    for h in hashes:
+        out = mix(out + h)
+    return out
+
+
+class Words:
+    """The words of some texts: which distinct word each is, and the bytes of those with a space after each."""
 
     def __init__(self, piece: pa.RecordBatch):
         data, ends = flat(piece.column("text"))
         low = lower_ascii(data)
         starts, stops, before = word_spans(low, ends, INSIDE)
-        size = stops - starts
-        self.words = np.diff(before)
-        # all words with one space after each, so that a run of words is one string
-        begin = np.cumsum(size + 1) - size - 1
-        source = np.arange(int((size + 1).sum())) - np.repeat(begin - starts, size + 1)
-        buffer = low[np.minimum(source, max(0, len(low) - 1))]
-        buffer[begin + size] = 32
-        self.buffer, n = buffer, len(size)
-        doc = np.repeat(np.arange(len(self.words)), self.words)
-        runs = [np.flatnonzero(doc[: max(0, n - k)] == doc[k:]) for k in range(LONGEST)]
-        first = np.concatenate(runs)
-        self.length = np.repeat(np.arange(1, LONGEST + 1), [len(r) for r in runs])
-        start, stop = begin[first], (begin + size)[first + self.length - 1]
-        names, self.at, self.which, self.count = np.unique(Rolling(buffer)(start, stop), return_index=True, return_inverse=True, return_counts=True)
-        self.doc, self.start, self.stop = doc[first], start, stop
-        self.first, self.word = first, (begin, begin + size)
-        self.length = self.length[self.at]
-
-    def hashes(self) -> np.ndarray:
-        """The CRC-32 of each distinct string, computed once."""
-        text = self.buffer.tobytes()
-        return np.fromiter((zlib.crc32(text[i:j]) for i, j in zip(self.start[self.at].tolist(), self.stop[self.at].tolist(), strict=True)), np.int64, len(self.at))
-
-    def packed(self, slices: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """(slice, codes, counts, text) of the distinct features dealt to slices by their first two words. A code tells how many
-        words a feature has, and how many of them the one before it in the slice begins with, which the text leaves out."""
-        if not len(self.at):
+        self.count = np.diff(before)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        self.hash, first, self.which = np.unique(Rolling(low)(starts, stops), return_index=True, return_inverse=True)
+        self.size = stops[first] - starts[first] + 1
+        low = np.append(low, np.uint8(32))
+        self.begin = np.cumsum(self.size) - self.size
+        self.buffer = words_with_spaces(low, starts[first], self.size)
+        self.buffer[self.begin + self.size - 1] = 32
+
+    def runs(self, n: int) -> list[np.ndarray]:
+        """The distinct words at each place of all runs of ``n`` words; no run crosses a text."""
+        last = max(0, len(self.which) - n + 1)
+        inside = self.doc[:last] == self.doc[n - 1 :]
+        return [self.which[k : k + last][inside] for k in range(n)]
+
+    def distinct_runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words, counts) of the distinct runs of up to LONGEST words, sorted: a column a word, -1 where a run is shorter."""
+        parts = []
+        for n in range(1, LONGEST + 1):
+            found = self.runs(n)
+            parts.append(np.stack([*found, *[np.full(len(found[0]), -1)] * (LONGEST - n)]))
+        every, base = np.concatenate(parts, 1) + 1, len(self.hash) + 1
+        if base**LONGEST >= 1 << 63:
+            words, count = np.unique(every, axis=1, return_counts=True)
+            return words - 1, count
+        key = every[0]
+        for more in every[1:]:
+            key = key * base + more
+        key, count = np.unique(key, return_counts=True)
+        words = np.empty((LONGEST, len(key)), np.int64)
+        for k in range(LONGEST - 1, -1, -1):
+            key, words[k] = np.divmod(key, base)
+        return words - 1, count
+
+    def packed(self, slices: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """(slice, n, size, body) of the distinct runs, dealt to slices by their first two words. A code tells how many words a run
+        has, and how many of them the run before it in the slice begins with; those are left out of the text."""
+        words, count = self.distinct_runs()
+        if not len(count):
             return
-        begin, end = self.word
-        _, word = np.unique(Rolling(self.buffer)(begin, end), return_inverse=True)
-        head = self.first[self.at]
-        known = Rolling(self.buffer)
-        pair = mix(known(begin[head], end[np.minimum(head + np.minimum(self.length, 2) - 1, len(end) - 1)]))
-        to = (pair % np.uint64(slices)).astype(np.int64)
-        ids = np.full((LONGEST, len(head)), -1)
-        for k in range(LONGEST):
-            has = self.length > k
-            ids[k, has] = word[head[has] + k]
-        order = np.lexsort((*ids[::-1], to))
-        ids, head, to, length, count = ids[:, order], head[order], to[order], self.length[order], self.count[order]
-        same = np.zeros((LONGEST, len(order)), bool)
-        same[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (ids[:, 1:] >= 0) & (to[1:] == to[:-1])
-        shared = np.minimum(np.cumprod(same, axis=0).sum(0), length - 1)
-        # the text that is left of each feature: its words from the first that is not shared on, with a space after each
-        begins, ends = begin[head + shared], end[head + length - 1] + 1
-        cut = np.concatenate(([0], np.cumsum(ends - begins)))
-        text = self.buffer[np.arange(cut[-1]) - np.repeat(cut[:-1] - begins, ends - begins)]
+        length = (words >= 0).sum(0)
+        second = np.where(words[1] >= 0, self.hash[words[1]], np.uint64(0))
+        to = (name([self.hash[words[0]], second], np.zeros(len(count))) % np.uint64(slices)).astype(np.int64)
+        order = np.argsort(to.astype(np.uint16) if slices <= 1 << 16 else to, kind="stable")
+        words, to, length, count = words[:, order], to[order], length[order], count[order]
+        same = np.zeros(words.shape, bool)
+        same[:, 1:] = (words[:, 1:] == words[:, :-1]) & (to[1:] == to[:-1])
+        shared = np.minimum(np.cumprod(same, axis=0, dtype=np.int8).sum(0), length - 1)
+        place = np.arange(LONGEST)[:, None]
+        own = ((place >= shared) & (place < length)).T
+        told = words.T[own]
+        cut = np.concatenate(([0], np.cumsum(self.size[told])))[np.concatenate(([0], np.cumsum(own.sum(1))))]
+        text = words_with_spaces(self.buffer, self.begin[told], self.size[told])
         codes, counts = (shared * 4 + length).astype(np.uint8), count.astype(np.int32)
         edge = np.concatenate(([0], np.flatnonzero(np.diff(to)) + 1, [len(to)]))
         zipped = pa.Codec("zstd", 1)
@@ -84,29 +105,67 @@ class Features:
             plain = codes[i:j].tobytes() + counts[i:j].tobytes() + text[cut[i] : cut[j]].tobytes()
             yield int(to[i]), j - i, len(plain), zipped.compress(plain, asbytes=True)
 
-
-def unpack(n: int, size: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, counts, buffer, cuts) of packed features: 64-bit names, and the strings ``buffer[cuts[i]:cuts[i + 1] - 1]``."""
+    def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, CRC-32) of every run of ``n`` words: those of the words are put together, as the checksum is linear."""
+        found, text = self.runs(n), self.buffer.tobytes()
+        ends = self.begin + self.size - 1
+        if not hasattr(self, "crc"):
+            self.crc = np.fromiter((zlib.crc32(text[i:j]) for i, j in zip(self.begin.tolist(), ends.tolist(), strict=True)), np.uint32, len(ends))
+        doc = self.doc[: max(0, len(self.which) - n + 1)]
+        doc = doc[doc == self.doc[n - 1 :]]
+        out = self.crc[found[0]]
+        size = self.size - 1
+        for words in found[1:]:
+            spaced = joined(out, np.ones(len(out), np.int64)) ^ np.uint32(zlib.crc32(b" "))
+            out = joined(spaced, np.minimum(size[words], TABLED)) ^ self.crc[words]
+        if n > 1:
+            for i in np.flatnonzero(np.max([size[w] for w in found[1:]], axis=0) > TABLED).tolist():
+                out[i] = zlib.crc32(b" ".join(text[self.begin[w[i]] : ends[w[i]]] for w in found))
+        return doc, out
+
+
+#: Bytes of a word up to which tables continue a checksum.
+TABLED = 64
+
+
+@functools.lru_cache(maxsize=1)
+def _zeros() -> np.ndarray:
+    """By number of zero bytes, byte of a checksum and its value: the checksum of what follows, of which the four are parts."""
+    step = np.array([zlib.crc32(bytes([b])) for b in range(256)], np.uint32) ^ np.uint32(zlib.crc32(b"\0"))
+    out = np.empty((TABLED + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for n in range(1, TABLED + 1):
+        out[n] = step[out[n - 1] & 255] ^ (out[n - 1] >> np.uint32(8))
+    return out
+
+
+def joined(crc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What the checksum of a string adds to that of the string and ``size`` more bytes."""
+    t = _zeros().reshape(-1)
+    at = size * 1024
+    return t[at + (crc & 255)] ^ t[at + 256 + ((crc >> 8) & 255)] ^ t[at + 512 + ((crc >> 16) & 255)] ^ t[at + 768 + (crc >> 24)]
+
+
+def unpack(n: int, size: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, counts, text, begins, sizes) of packed runs: 64-bit names, and where in ``text`` their words are, with a space
+    after each; a column a word, of no size where a run is shorter."""
     plain = np.frombuffer(pa.Codec("zstd").decompress(body, size, asbytes=True), np.uint8)
     codes, counts, text = plain[:n], plain[n : 5 * n].view(np.int32), plain[5 * n :]
     shared, length = (codes >> 2).astype(np.int64), (codes & 3).astype(np.int64)
     own = length - shared
     stops = np.flatnonzero(text == 32)
-    starts = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
-    at = np.cumsum(own) - own  # the first word of its own
-    number = np.arange(n)
-    spans = []
+    starts = np.concatenate(([0], stops[:-1] + 1))
+    hashes = Rolling(text)(starts, stops)
+    at, number = np.cumsum(own) - own, np.arange(n)
+    begins, sizes, names = [], [], []
     for k in range(LONGEST):
-        # word k is the feature's own, or that of the last one that brought a word k of its own
-        brings = (shared <= k) & (length > k)
-        last = np.maximum.accumulate(np.where(brings, number, 0))
-        word = np.minimum(at[last] + k - shared[last], max(0, len(stops) - 1))
-        spans.append((starts[word], np.where(length > k, stops[word] + 1 - starts[word], 0)))
-    begins, sizes = (np.stack([s[i] for s in spans], 1).ravel() for i in (0, 1))
-    ends = np.cumsum(sizes)
-    buffer = text[np.arange(int(ends[-1])) - np.repeat(ends - sizes - begins, sizes)]
-    cuts = np.concatenate(([0], ends[LONGEST - 1 :: LONGEST]))
-    return Rolling(buffer)(cuts[:-1], cuts[1:] - 1), counts, buffer, cuts
+        # word k is the run's own, or that of the last run that brought a word k of its own
+        last = np.maximum.accumulate(np.where((shared <= k) & (length > k), number, 0))
+        word, has = np.minimum(at[last] + k - shared[last], len(stops) - 1), length > k
+        begins.append(starts[word])
+        sizes.append(np.where(has, stops[word] + 1 - starts[word], 0))
+        names.append(np.where(has, hashes[word], np.uint64(0)))
+    return name(names, length), counts, text, np.stack(begins, 1), np.stack(sizes, 1)
 
 
 class Dictionary:
@@ -117,8 +176,8 @@ class Dictionary:
         self.waiting: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def add(self, names: np.ndarray, counts: np.ndarray, buffer: np.ndarray, cuts: np.ndarray) -> None:
-        self.waiting.append((names, counts, buffer, cuts))
+    def add(self, names: np.ndarray, *rest: np.ndarray) -> None:
+        self.waiting.append((names, *rest))
         self.held += len(names)
         if self.held >= MERGED:
             self.merge()
@@ -129,20 +188,21 @@ class Dictionary:
         names = np.concatenate([w[0] for w in self.waiting])
         fresh, first, which = np.unique(names, return_index=True, return_inverse=True)
         counts = np.bincount(which, np.concatenate([w[1] for w in self.waiting]), len(fresh)).astype(np.int64)
-        begins = np.concatenate([[0], np.cumsum([len(w[0]) for w in self.waiting])])
-        at = np.minimum(np.searchsorted(self.names, fresh), max(0, len(self.names) - 1))
-        old = self.names[at] == fresh if len(self.names) else np.zeros(len(fresh), bool)
+        at = np.searchsorted(self.names, fresh)
+        old = np.append(self.names, np.uint64(0))[at] == fresh
+        old &= at < len(self.names)
         bucket = np.zeros(len(fresh), np.int16)
-        if len(self.names):
-            bucket[old] = self.buckets[at[old]]
+        bucket[old] = self.buckets[at[old]]
         new = np.flatnonzero(~old)
-        source = first[new]
-        order = np.argsort(source, kind="stable")
-        edges = np.searchsorted(source[order], begins)
-        for k, (_, _, buffer, cuts) in enumerate(self.waiting):
-            mine = order[edges[k] : edges[k + 1]]
-            local, text = source[mine] - begins[k], buffer.tobytes()
-            bucket[new[mine]] = [zlib.crc32(text[i:j]) % BUCKETS for i, j in zip(cuts[local].tolist(), (cuts[local + 1] - 1).tolist(), strict=True)]
+        new = new[np.argsort(first[new])]
+        edges = np.searchsorted(first[new], np.cumsum([0, *(len(w[0]) for w in self.waiting)]))
+        begin = 0
+        for k, (mine, _, text, begins, sizes) in enumerate(self.waiting):
+            local = first[new[edges[k] : edges[k + 1]]] - begin
+            begin += len(mine)
+            strings = words_with_spaces(text, begins[local].ravel(), sizes[local].ravel()).tobytes()
+            cuts = np.concatenate(([0], np.cumsum(sizes[local].sum(1)))).tolist()
+            bucket[new[edges[k] : edges[k + 1]]] = [zlib.crc32(strings[i : j - 1]) % BUCKETS for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         np.add.at(self.totals, bucket, counts)
         self.names = np.concatenate((self.names, fresh[new]))
         self.buckets = np.concatenate((self.buckets, bucket[new]))
@@ -166,7 +226,7 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", slice_bytes: int = S
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
-            rows = list(Features(piece).packed(slices))
+            rows = list(Words(piece).packed(slices))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         tidy()
@@ -206,18 +266,21 @@ def bucket_gains(docs: DataFrame, target: DataFrame, text_col: str = "text", tar
 def weigh(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_features, weight): the gains of a document's features, repeats counted, summed up.
 
-    Gains are met by bucket, in the dictionary of the distinct features of some megabytes of text."""
+    Gains are met by bucket: there are BUCKETS of them, whatever the corpus. A string is not hashed again for that, as the
+    checksum of a run of words follows from those of its words."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("weight", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches):
-            f = Features(piece)
-            worth = gains[f.hashes() % BUCKETS][f.which]
-            n = np.bincount(f.doc, minlength=piece.num_rows)
-            weight = np.zeros(piece.num_rows, np.int64)
-            np.add.at(weight, f.doc, worth)
-            yield batch_of(schema, doc_id=piece.column("doc_id"), n_words=f.words, n_features=n, weight=weight)
+            words = Words(piece)
+            n, weight = np.zeros(piece.num_rows, np.int64), np.zeros(piece.num_rows, np.int64)
+            for k in range(1, LONGEST + 1):
+                doc, crc = words.hashes(k)
+                n += np.bincount(doc, minlength=piece.num_rows)
+                # whole numbers far below 2**53, so that the sums are exact
+                weight += np.bincount(doc, gains[crc % BUCKETS], piece.num_rows).astype(np.int64)
+            yield batch_of(schema, doc_id=piece.column("doc_id"), n_words=words.count, n_features=n, weight=weight)
         tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
