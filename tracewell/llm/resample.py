@@ -303,9 +303,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     gumbel = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
     rows = weigh(docs, gains, id_col, text_col).withColumns({"score": F.col("weight") + gumbel, "fit": F.col("n_words") >= least_words})
     order = (F.desc("fit"), F.desc("score"), F.asc_nulls_last("doc_id"))
-    scored = stash(rows, "resample-scores")
+    scored = stash(rows, "resample-scores", few=True)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stash(scored.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "resample-ranges")
+    dealt = stash(scored.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "resample-ranges", few=True)
     discard(scored)
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if("fit").alias("fits"))  # as many rows as ranges
     ahead = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.floor(F.sum("fits").over(Window.partitionBy()) * percent / 100).cast("long").alias("drawn"))
