@@ -1,7 +1,6 @@
 """The pattern language, predicates, and the matcher against a naive replay."""
 
 import datetime as dt
-import os
 import random
 
 import pytest
@@ -12,7 +11,6 @@ from tracewell.functions import scalars as S
 from tracewell.functions.predicates import PatternError, block, check
 from tracewell.operators import findings, graph, lifecycle
 from tracewell.plans import dsl, matcher
-from tracewell.streaming.live import LiveDetector
 
 T0 = dt.datetime(2026, 1, 1)
 EVENTS = "event_id long, ts timestamp_ntz, proc string, type string, remote_port long, path string, exe string"
@@ -82,18 +80,13 @@ def naive(procs, events, w):
     return sorted(out)
 
 
-def test_matcher_against_replay_and_stream(spark, tmp_path):
+def test_matcher_against_replay(spark):
     procs, events = world(3)
     p, e = spark.createDataFrame(procs, PROCS), spark.createDataFrame(events, EVENTS)
     pattern = dsl.Pattern("both", roles=[dsl.Role("a", events=[dsl.Requirement("NETWORK_CONNECT"), dsl.Requirement("FILE_CREATE")])], max_findings=1000)
     w = dt.timedelta(seconds=30)
     found = matcher.find(pattern, p, e, window_us=30_000_000)
     assert sorted(tuple(r) for r in found.groupBy("r_a").agg(F.min("us")).collect()) == naive(procs, events, w)
-    live = LiveDetector(spark, dsl.PatternSet([pattern]), p, f"file://{tmp_path}/live", 30_000_000)
-    live.process(e.limit(80), 0)
-    live.process(e.filter("event_id >= 80"), 1)
-    first = live.findings().groupBy("key").agg(F.min("us").alias("us")).collect()
-    assert sorted(r["us"] for r in first) == sorted(us for _, us in naive(procs, events, w))
 
 
 def test_graph_pattern_needs_distinct_related_processes(spark):
@@ -219,26 +212,3 @@ def test_image_changes_and_evidence(spark):
     steps = dsl.Sequence([dsl.Step("a", "NETWORK_CONNECT", {}, "c"), dsl.Step("a", "FILE_CREATE", {"path": {"not": ""}})], 50_000_000, 0)
     both = matcher.detect([dsl.Pattern("seq", roles=[dsl.Role("a", {"user": "www"})], sequence=steps)], p, events, window_us=60_000_000).collect()
     assert [(r["us"], r["evidence"], [tuple(c) for c in r["captures"]]) for r in both] == [(us(25), [1, 5], [("c", 1)])]
-
-
-def test_a_running_stream_survives_restarts_and_agrees_with_the_batch(spark, tmp_path):
-    """Ordered files of events, one micro-batch a file; the query is stopped and started again from its checkpoint."""
-    procs, events = world(6, 240)
-    p = spark.createDataFrame(procs, PROCS)
-    pattern = dsl.Pattern("both", roles=[dsl.Role("a", events=[dsl.Requirement("NETWORK_CONNECT"), dsl.Requirement("FILE_CREATE")])], max_findings=5)
-    for k in range(3):
-        spark.createDataFrame(events[80 * k : 80 * k + 80], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
-    w = 30_000_000
-    live = LiveDetector(spark, dsl.PatternSet([pattern]), p, f"file://{tmp_path}/live", w)
-    for k in range(3):  # each start sees one more file
-        os.makedirs(tmp_path / "seen", exist_ok=True)
-        for f in (tmp_path / "in" / f"part{k}").glob("*.parquet"):
-            f.rename(tmp_path / "seen" / f"{k}-{f.name}")
-        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/seen")
-        query = live.start(stream, f"file://{tmp_path}/checkpoint", once=True)
-        assert query.awaitTermination(90) and query.exception() is None
-    got = sorted((r["us"], r["key"]) for r in live.findings().collect())
-    want = sorted((r["us"], r["key"]) for r in matcher.detect([pattern], p, spark.createDataFrame(events, EVENTS), window_us=w).collect())
-    first = lambda rows: {k: min(u for u, x in rows if x == k) for _, k in rows}
-    assert len(got) == len(set(got)) and first(got) == first(want) and len(got) >= len(want)
-    assert len(list((tmp_path / "live" / "events").glob("batch=*"))) < 3  # expired events are gone

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 16
+#: Later than any time in microseconds.
+FOREVER = (1 << 62) - 1
 
 
 def with_derived_exit(processes: DataFrame) -> DataFrame:
@@ -40,8 +42,9 @@ def parent_edges(processes: DataFrame) -> DataFrame:
     return asof.unionByName(loose).groupBy("child").agg(F.max_by("parent", F.struct("start", "parent")).alias("parent")).select("parent", "child")
 
 
-def descendants(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(ancestor, descendant, depth) up to ``max_depth`` generations.
+def descendants(edges: DataFrame, max_depth: int, ends: DataFrame | None = None) -> DataFrame:
+    """(ancestor, descendant, depth) up to ``max_depth`` generations, and until, the time up to which all in between are known,
+    where ``ends`` (proc, e) tells that of each.
 
     A process has one parent, so the rows of one pass carry the ancestors found so far, and each generation is one join with
     the edges: ``max_depth`` - 1 joins in all, of as many rows as there are edges.
@@ -49,12 +52,19 @@ def descendants(edges: DataFrame, max_depth: int) -> DataFrame:
     if not 1 <= max_depth <= MAX_DEPTH:
         raise ValueError(f"max_depth must be between 1 and {MAX_DEPTH}")
     up = edges.select(F.col("parent").alias("_up"), F.col("child").alias("_down"))
-    rows = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("_top"), F.array("parent").alias("_above"))
+    if ends is not None and max_depth > 1:
+        up = up.join(ends.select(F.col("proc").alias("_down"), F.col("e").alias("_end")), "_down")
+    else:
+        up = up.withColumn("_end", F.lit(FOREVER))
+    one = lambda p, e: F.struct(p.alias("proc"), e.alias("until"))
+    rows = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("_top"), F.lit(FOREVER).alias("_least"), F.array(one(F.col("parent"), F.lit(FOREVER))).alias("_above"))
     for _ in range(2, max_depth + 1):
-        met = rows.join(up, F.col("_top") == F.col("_down"), "left")
-        rows = met.select("descendant", F.col("_up").alias("_top"), F.when(F.col("_up").isNotNull(), F.array_append("_above", F.col("_up"))).otherwise(F.col("_above")).alias("_above"))
-    found = rows.select("descendant", F.posexplode("_above").alias("_n", "ancestor"))
-    return found.select("ancestor", "descendant", (F.col("_n") + 1).alias("depth"))
+        met = rows.join(up, F.col("_top") == F.col("_down"), "left").withColumn("_least", F.least("_least", "_end"))
+        above = F.when(F.col("_up").isNotNull(), F.array_append("_above", one(F.col("_up"), F.col("_least")))).otherwise(F.col("_above"))
+        rows = met.select("descendant", F.col("_up").alias("_top"), "_least", above.alias("_above"))
+    found = rows.select("descendant", F.posexplode("_above").alias("_n", "_x"))
+    kept = ("until",) if ends is not None else ()
+    return found.select(F.col("_x.proc").alias("ancestor"), "descendant", (F.col("_n") + 1).alias("depth"), *(F.col(f"_x.{c}").alias(c) for c in kept))
 
 
 def snapshot_tree(snapshot: DataFrame) -> DataFrame:

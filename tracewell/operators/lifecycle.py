@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import FOREVER
 from .thresholds import micros
 
-#: Later than any time in microseconds.
-FOREVER = (1 << 62) - 1
-
 
 def snapshot_diff(snapshots: DataFrame, key: list[str], number: str = "snap", started: str = "START", ended: str = "EXIT") -> DataFrame:
     """(snap, key.., event) of what appears in a snapshot, or is gone from it, against the one before. The first is the
@@ -71,6 +69,25 @@ def images(processes: DataFrame, events: DataFrame) -> DataFrame:
     return kept.withColumns({"user": user, "e": F.coalesce(F.lead("s").over(order), F.lit(FOREVER))}).select("proc", *fields, "user", "s", "e").filter("s < e")
 
 
+def arrived(processes: DataFrame, events: DataFrame) -> DataFrame:
+    """``processes`` with those that ``events`` start and end: proc, pid, ppid, start, exited_at, name, exe, cmdline, user.
+
+    A process is as its first PROCESS_START describes it, unless it was known before; its earliest exit counts. Events that
+    don't have a start of their own start their process at their time; an exit of an unknown process is passed over.
+    """
+    columns = ["proc", "pid", "ppid", "start", "exited_at", "name", "exe", "cmdline", "user"]
+    have = lambda c: F.col(c) if c in events.columns else F.lit(None)
+    kinds = {f.name: f.dataType for f in processes.schema}
+    began = events.filter(F.col("type") == "PROCESS_START")
+    told = {"start": F.coalesce(have("start").cast(kinds["start"]), F.col("ts").cast(kinds["start"])), "exited_at": F.lit(None)}
+    new = began.select(*(told.get(c, have(c)).cast(kinds[c]).alias(c) for c in columns), micros(F.col("ts")).alias("_at"), F.col("event_id").alias("_n"))
+    known = processes.select(*columns, F.lit(0).cast("long").alias("_at"), F.lit(-1).cast("long").alias("_n"))
+    gone = events.filter(F.col("type") == "PROCESS_EXIT").select("proc", F.col("ts").cast(kinds["exited_at"]).alias("_exit"))
+    both = known.unionByName(new).groupBy("proc").agg(F.min_by(F.struct(*columns[1:]), F.struct(F.col("_n") >= 0, "_at", "_n")).alias("x"))
+    ended = both.join(gone.groupBy("proc").agg(F.min("_exit").alias("_exit")), "proc", "left").select("proc", "x.*", "_exit")
+    return ended.withColumn("exited_at", F.least("exited_at", "_exit")).select(*columns)
+
+
 def reconcile(tracked: DataFrame, listed: DataFrame, key: list[str]) -> DataFrame:
     """Tracked but not listed: an inferred exit; listed but not tracked: a reconciled start."""
     gone = tracked.join(listed, key, "left_anti").select(*key, F.lit("PROCESS_EXIT").alias("event"))

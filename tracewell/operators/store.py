@@ -9,6 +9,12 @@ DEFAULT_LIMIT, DEFAULT_RETENTION_DAYS, TAB_LINES = 200, 7, 500
 TIME_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that what is planned over it several times does not repeat what it
+    takes; as it is where the session has none."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Add to a log partitioned by tab and day."""
     rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("tab", "day").parquet(path)

@@ -19,6 +19,7 @@ from ..functions.predicates import block, without_references
 from ..operators import findings as out
 from ..operators.graph import descendants, parent_edges
 from ..operators.lifecycle import FOREVER, images
+from ..operators.store import settled
 from ..operators.thresholds import all_hold, count_met, distinct_met, islands, micros
 from .dsl import Exclusion, Pattern, Requirement, Role
 
@@ -81,9 +82,11 @@ def bindings(pattern: Pattern, processes: DataFrame, events: DataFrame, edges: D
         if edge is None:
             raise ValueError("the roles are not all connected")
         left.remove(edge)
-        link = descendants(edges, edge.max_depth if edge.type == "DESCENDANT" else 1).select(F.col("ancestor").alias(f"r_{edge.parent}"), F.col("descendant").alias(f"r_{edge.child}"))
+        depth = edge.max_depth if edge.type == "DESCENDANT" else 1
+        # processes in between must be visible, too
+        link = descendants(edges, depth, alive.select("proc", F.col("_e").alias("e"))).select(F.col("ancestor").alias(f"r_{edge.parent}"), F.col("descendant").alias(f"r_{edge.child}"), F.col("until").alias("_until"))
         on = [f"r_{r}" for r in (edge.parent, edge.child) if r in bound]
-        rows = rows.join(link, on)
+        rows = rows.join(link, on).withColumn(f"e_{bound[0]}", F.least(f"e_{bound[0]}", "_until")).drop("_until")
         for r in (edge.parent, edge.child):
             if r not in bound:
                 rows = rows.join(sides[r], f"r_{r}")
@@ -264,12 +267,14 @@ def with_evidence(pattern: Pattern, found: DataFrame, processes: DataFrame, even
 
 def detect(patterns: list[Pattern], processes: DataFrame, events: DataFrame, edges: DataFrame | None = None, exclusions: list[Exclusion] = (), window_us: int = WINDOW_US, tolerance_us: int = TOLERANCE_US) -> DataFrame:
     """All findings of all patterns after exclusions and rate limits: finding_id, rule, severity, title, us, key, and what
-    ``with_evidence`` adds, which is looked up for the findings that are left only."""
+    ``with_evidence`` adds, which is looked up for the findings that are left only, once these have been written."""
     parts = []
+    if edges is None and any(p.edges for p in patterns):
+        edges = settled(parent_edges(processes))
     for p in patterns:
         rows = find(p, processes, events, edges, exclusions, window_us, tolerance_us).filter(~F.col("excluded")).drop("excluded")
         if not p.roles:
             continue
-        kept = out.rate_limit(rows, window_us, p.max_findings).filter("kept").drop("kept", "window")
+        kept = settled(out.rate_limit(rows, window_us, p.max_findings).filter("kept").drop("kept", "window"))
         parts.append(with_evidence(p, kept, processes, events, window_us, tolerance_us))
     return out.with_ids(reduce(DataFrame.unionByName, parts))
