@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
-from .operators import findings, graph, lifecycle
+from .operators import findings, graph, lifecycle, store
 from .plans import dsl, matcher
-from .queries import _VIEWS, DAY, ORACLE_SQL, query
+from .queries import _LOG, _VIEWS, DAY, ORACLE_SQL, _log, query
 from .sources.driver_tables import processes, tele
 
 _TOP = "(SELECT max(epoch_us(ts)) FROM tele)"
@@ -171,3 +174,38 @@ def derived_captures(spark, sf_dir):
 
 
 ORACLE_SQL["derived_captures"] = f"WITH {_VIEWS}, l AS (SELECT event_id % 997 AS finding, list(event_id ORDER BY event_id) AS ids, list(type ORDER BY event_id) AS types FROM tele GROUP BY 1) SELECT finding, CASE WHEN len(ids) >= 3 AND types[1:3] = ['FILE_CREATE', 'NETWORK_CONNECT', 'FILE_CREATE'] THEN concat('dropped=', ids[1], ',again=', ids[3]) ELSE '' END AS captures FROM l"
+
+
+@query(f"SELECT id, tab, k FROM ({_LOG}) AS l WHERE tab = 'Network' AND ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 10 DAY FROM events) AND ts <= (SELECT date_trunc('day', min(ts)) + INTERVAL 12 DAY FROM events)")
+def log_table(spark, sf_dir):
+    """A log that is written by tab and day, loses its expired days, and is asked for two of them: only these are read."""
+    log = _log(spark, sf_dir)
+    first = log.agg(F.min("ts")).first()[0].replace(hour=0, minute=0, second=0, microsecond=0)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/log-{uuid.uuid4().hex}"
+    store.append(log, path)
+    store.drop_expired(spark, path, first + dt.timedelta(days=15), 7)
+    kept = store.open_log(spark, path, "id long, ts timestamp_ntz, k long, proc long")
+    return store.log_query(kept, "Network", first + dt.timedelta(days=10), first + dt.timedelta(days=12), 1 << 30).select("id", "tab", "k")
+
+
+@query()
+def truncated_sequences(spark, sf_dir):
+    """Roles are bound, the sequence is not there, and a cap of events would have dropped some of theirs."""
+    seq = dsl.Sequence([dsl.Step("a", "FILE_CREATE"), dsl.Step("a", "DNS_QUERY", {"domain": {"suffix": "7.Example"}})], DAY // 4, 0)
+    p = dsl.Pattern("s", roles=[dsl.Role("a", {"name": {"in": ["sh", "curl"]}})], sequence=seq)
+    got = matcher.possibly_truncated(p, processes(spark, sf_dir), tele(spark, sf_dir), window_us=DAY, keep=12)
+    return got.select(F.col("r_a").alias("proc"), "dropped")
+
+
+ORACLE_SQL["truncated_sequences"] = f"""WITH {_VIEWS}, bound AS (SELECT proc FROM proc WHERE name IN ('sh', 'curl') AND proc IN (SELECT proc FROM tele WHERE type = 'FILE_CREATE') AND proc IN (SELECT proc FROM tele WHERE type = 'DNS_QUERY' AND domain LIKE '%7.Example')),
+    found AS (SELECT x.proc FROM tele x JOIN tele y ON x.proc = y.proc WHERE x.type = 'FILE_CREATE' AND y.type = 'DNS_QUERY' AND y.domain LIKE '%7.Example' AND y.ts >= x.ts AND epoch_us(y.ts) - epoch_us(x.ts) <= {DAY // 4})
+    SELECT proc, sum(n - 12)::BIGINT AS dropped FROM (SELECT proc, type, count(*) AS n FROM tele WHERE type IN ('FILE_CREATE', 'DNS_QUERY') GROUP BY ALL) AS c JOIN bound USING (proc) WHERE n > 12 AND proc NOT IN (SELECT proc FROM found) GROUP BY proc"""
+
+
+@query("SELECT event_id, CASE WHEN proc = 7 THEN 'event' END AS what FROM tele WHERE proc = 7 UNION ALL SELECT CASE WHEN parent = 7 THEN child ELSE parent END, CASE WHEN parent = 7 THEN 'child' ELSE 'parent' END FROM edges WHERE 7 IN (parent, child)")
+def inspect_process(spark, sf_dir):
+    """Chain and relationships of one process."""
+    events, edges = matcher.inspect(7, processes(spark, sf_dir), tele(spark, sf_dir))
+    own = F.when(F.col("parent") == 7, F.col("child")).otherwise(F.col("parent"))
+    return events.select("event_id", F.lit("event").alias("what")).unionByName(edges.select(own.alias("event_id"), F.when(F.col("parent") == 7, "child").otherwise("parent").alias("what")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 DEFAULT_LIMIT, DEFAULT_RETENTION_DAYS, TAB_LINES = 200, 7, 500
 TIME_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
@@ -16,20 +19,48 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Add to a log partitioned by tab and day."""
-    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("tab", "day").parquet(path)
+    """Add to a log partitioned by tab and day; rows of one partition are gathered, so that an append adds few files."""
+    rows.withColumn("day", F.to_date("ts")).hint("rebalance", "tab", "day").write.mode("append").partitionBy("tab", "day").parquet(path)
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str, every: str = "200 milliseconds", once: bool = False) -> StreamingQuery:
+    """A stream of rows to the log. Nothing is dropped when writing is slow: batches grow. A restart repeats no batch."""
+    writer = rows.withColumn("day", F.to_date("ts")).writeStream.format("parquet").partitionBy("tab", "day").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
 
+def open_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log that ``append`` wrote, with its partition columns; ``schema`` is that of the rows, without tab."""
+    return spark.read.schema(f"{schema}, tab string, day date").parquet(path)
 
-def log_query(log: DataFrame, tab: str | None = None, since=None, until=None, limit: int = 0) -> DataFrame:
+
+def log_query(log: DataFrame, tab: str | None = None, since: dt.datetime | None = None, until: dt.datetime | None = None, limit: int = 0) -> DataFrame:
+    """The first rows by id of a tab and a time span, both ends included. Of a log with days only the tab's days are read."""
     if tab is not None:
         log = log.filter(F.col("tab") == tab)
-    if since is not None:
-        log = log.filter(F.col("ts") >= F.lit(since))
-    if until is not None:
-        log = log.filter(F.col("ts") <= F.lit(until))
+    for bound, keep in ((since, "__ge__"), (until, "__le__")):
+        if bound is not None:
+            log = log.filter(getattr(F.col("ts"), keep)(F.lit(bound)))
+            if "day" in log.columns:
+                log = log.filter(getattr(F.col("day"), keep)(F.lit(bound.date())))
     return log.orderBy("id").limit(limit if limit > 0 else DEFAULT_LIMIT)
 
 
+def drop_expired(spark: SparkSession, path: str, now: dt.datetime, days: int = DEFAULT_RETENTION_DAYS) -> list[str]:
+    """Delete the days of a log that are wholly past, without reading a row, and tell which; rows of the day of the cutoff stay
+    until it is past, and ``retention`` passes over them. A setting that isn't positive means the default."""
+    cutoff = (now - dt.timedelta(days=days if days > 0 else DEFAULT_RETENTION_DAYS)).date().isoformat()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for found in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/tab=*/day=*")) or []:
+        at = found.getPath()
+        if at.getName().removeprefix("day=") < cutoff:
+            fs.delete(at, True)
+            gone.append(f"{at.getParent().getName()}/{at.getName()}")
+    return sorted(gone)
+
+
 def recent(log: DataFrame, n: int = TAB_LINES) -> DataFrame:
     """The newest ``n`` rows, oldest first."""
     return log.orderBy(F.desc("id")).limit(n).orderBy("id")

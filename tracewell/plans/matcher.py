@@ -20,11 +20,18 @@ from ..operators import findings as out
 from ..operators.graph import descendants, parent_edges
 from ..operators.lifecycle import FOREVER, images
 from ..operators.store import settled
-from ..operators.thresholds import all_hold, count_met, distinct_met, islands, micros
+from ..operators.thresholds import all_hold, count_met, distinct_met, islands, micros, truncated
 from .dsl import Exclusion, Pattern, Requirement, Role
 
 WINDOW_US = 300_000_000
 TOLERANCE_US = 3_000_000
+#: Where processes and connections both come from kernel events, which carry the time at which things happen.
+EVENT_DRIVEN_TOLERANCE_US = 250_000
+
+
+def default_tolerance(processes: str, network: str) -> int:
+    """The tolerance of sequences that have none, by where processes and connections come from: a kernel source or ``poll``."""
+    return TOLERANCE_US if "poll" in (processes, network) else EVENT_DRIVEN_TOLERANCE_US
 
 
 def role_filter(pattern: Pattern, role: Role) -> Column:
@@ -188,6 +195,25 @@ def match_intervals(pattern: Pattern, processes: DataFrame, events: DataFrame, e
     return all_hold(reduce(DataFrame.unionByName, parts), names, 1 + len(needs) + bool(pattern.sequence))
 
 
+def possibly_truncated(pattern: Pattern, processes: DataFrame, events: DataFrame, edges: DataFrame | None = None, window_us: int = WINDOW_US, tolerance_us: int = TOLERANCE_US, keep: int = 64) -> DataFrame:
+    """Bindings (r_<role>.., dropped) whose sequence is not found, and may be missing only because a store of the newest ``keep``
+    events of a process and type would have dropped some: how many, over all bound processes. The matcher here keeps them all."""
+    names = [f"r_{r.id}" for r in pattern.roles]
+    edges = parent_edges(processes) if edges is None and pattern.edges else edges
+    bound = bindings(pattern, processes, events, edges, window_us).select(*names).distinct()
+    found = sequence_assignments(pattern, bound, events, window_us, tolerance_us).select(*names).distinct()
+    used = {s.type for s in pattern.sequence.steps}
+    lost = truncated(events.filter(F.col("type").isin(*sorted(used))), ["proc", "type"], keep).groupBy("proc").agg(F.sum("dropped").alias("dropped"))
+    left = bound.join(found, names, "left_anti").select(*names, F.explode(F.array(*(F.col(n) for n in names))).alias("proc"))
+    return left.join(lost, "proc").groupBy(*names).agg(F.sum("dropped").alias("dropped"))
+
+
+def inspect(proc, processes: DataFrame, events: DataFrame, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is known of one process: its events in order of time, and its relationships (parent, child)."""
+    edges = parent_edges(processes) if edges is None else edges
+    return events.filter(F.col("proc") == proc).orderBy("ts", "event_id"), edges.filter((F.col("parent") == proc) | (F.col("child") == proc))
+
+
 def last_instant(processes: DataFrame, events: DataFrame) -> DataFrame:
     """One row, until: the time that the tables reach, of the last event or start."""
     times = events.select(micros(F.col("ts")).alias("us")).unionByName(processes.select(micros(F.col("start")).alias("us")))

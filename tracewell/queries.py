@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from collections.abc import Callable
 
@@ -341,9 +342,8 @@ _LOG = "SELECT event_id AS id, ts, CASE WHEN starts_with(type, 'NETWORK') THEN '
 @query(f"SELECT id, tab FROM (SELECT * FROM ({_LOG}) AS l WHERE tab = 'DNS' AND ts >= (SELECT min(ts) + INTERVAL 3 DAY FROM events) AND ts <= (SELECT min(ts) + INTERVAL 9 DAY FROM events) ORDER BY id LIMIT 200) AS q")
 def log_query(spark, sf_dir):
     log = _log(spark, sf_dir)
-    lo = log.agg(F.min("ts").alias("t")).select((F.col("t") + F.expr("interval 3 days")).alias("lo"), (F.col("t") + F.expr("interval 9 days")).alias("hi"))
-    bounded = log.join(F.broadcast(lo)).filter("ts >= lo and ts <= hi")
-    return store.log_query(bounded, "DNS").select("id", "tab")
+    first = log.agg(F.min("ts")).first()[0]
+    return store.log_query(log, "DNS", first + dt.timedelta(days=3), first + dt.timedelta(days=9)).select("id", "tab")
 
 
 @query(f"SELECT id, tab FROM (SELECT id, tab, row_number() OVER (PARTITION BY tab ORDER BY id DESC) AS n FROM ({_LOG}) AS l) AS q WHERE n <= 500")
