@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,20 +19,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add to a log partitioned by tab and day; rows of one partition are gathered, so that an append adds few files."""
-    rows.withColumn("day", F.to_date("ts")).hint("rebalance", "tab", "day").write.mode("append").partitionBy("tab", "day").parquet(path)
+def append(rows: DataFrame, path: str, load: str | None = None) -> None:
+    """Add to a log partitioned by tab, day and load; rows of one partition are gathered, so that an append adds few files.
+    A load that is repeated under its name replaces itself."""
+    named = rows.withColumns({"day": F.to_date("ts"), "load": F.lit(load or uuid.uuid4().hex)})
+    named.hint("rebalance", "tab", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tab", "day", "load").parquet(path)
 
 
-def append_stream(rows: DataFrame, path: str, checkpoint: str, every: str = "200 milliseconds", once: bool = False) -> StreamingQuery:
-    """A stream of rows to the log. Nothing is dropped when writing is slow: batches grow. A restart repeats no batch."""
-    writer = rows.withColumn("day", F.to_date("ts")).writeStream.format("parquet").partitionBy("tab", "day").option("path", path).option("checkpointLocation", checkpoint)
+def append_stream(rows: DataFrame, path: str, checkpoint: str, name: str = "stream", every: str = "200 milliseconds", once: bool = False) -> StreamingQuery:
+    """A stream of rows to the log, a load a batch. Nothing is dropped when writing is slow: batches grow. A batch that is repeated
+    after a failure replaces itself; each stream into one log has its own ``name``."""
+    writer = rows.writeStream.foreachBatch(lambda batch, n: append(batch, path, f"{name}-{n}")).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def open_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log that ``append`` wrote, with its partition columns; ``schema`` is that of the rows, without tab."""
-    return spark.read.schema(f"{schema}, tab string, day date").parquet(path)
+    return spark.read.schema(f"{schema}, tab string, day date, load string").parquet(path)
 
 
 def log_query(log: DataFrame, tab: str | None = None, since: dt.datetime | None = None, until: dt.datetime | None = None, limit: int = 0) -> DataFrame:
