@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import findings, graph, lifecycle, store
 from .plans import dsl, matcher
-from .queries import _LOG, _VIEWS, DAY, ORACLE_SQL, _log, query
+from .queries import _LOG, _VIEWS, DAY, ORACLE_SQL, _log, query, shipped
 from .sources.driver_tables import processes, tele
 
 _TOP = "(SELECT max(epoch_us(ts)) FROM tele)"
@@ -209,3 +209,24 @@ def inspect_process(spark, sf_dir):
     events, edges = matcher.inspect(7, processes(spark, sf_dir), tele(spark, sf_dir))
     own = F.when(F.col("parent") == 7, F.col("child")).otherwise(F.col("parent"))
     return events.select("event_id", F.lit("event").alias("what")).unionByName(edges.select(own.alias("event_id"), F.when(F.col("parent") == 7, "child").otherwise("parent").alias("what")))
+
+
+@query()
+def shipped_patterns(spark, sf_dir):
+    """The example patterns over all events, of ten processes and brought together in 200 seconds: one is a scheduler."""
+    t = tele(spark, sf_dir)
+    step = 200_000_000 // max(1, t.agg(F.max("event_id")).first()[0] or 1)
+    at = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("event_id") * step / 1_000_000).cast("decimal(18,6)"))
+    key = (F.col("type") == "FILE_CREATE") & (F.col("k") % 10 == 0)
+    events = t.withColumns({"ts": at, "proc": F.col("proc") % 10, "path": F.when(key, "/home/u/.ssh/keys").otherwise(F.col("path")), "type": F.when(key, "FILE_MODIFY").otherwise(F.col("type"))})
+    procs = events.groupBy("proc").agg(F.min("ts").alias("start")).select("proc", F.col("proc").alias("pid"), F.lit(None).cast("long").alias("ppid"), "start", F.lit(None).cast("timestamp_ntz").alias("exited_at"), F.when(F.col("proc") == 1, "cron").otherwise("sh").alias("name"), F.lit("/bin/x").alias("exe"), F.lit("x").alias("cmdline"), F.lit("u").alias("user"))
+    edges = procs.filter("proc > 0").select(F.floor(F.col("proc") / 3).cast("long").alias("parent"), F.col("proc").alias("child"))
+    return matcher.detect(shipped().patterns, procs, events, edges).select("rule", "severity", "title", "us", "key")
+
+
+ORACLE_SQL["shipped_patterns"] = f"""WITH {_VIEWS}, ev AS (SELECT proc % 10 AS proc, epoch_us(TIMESTAMP '2024-01-01') + event_id * (200000000 // (SELECT max(event_id) FROM tele)) AS us, CASE WHEN type = 'FILE_CREATE' AND k % 10 = 0 THEN 'FILE_MODIFY' ELSE type END AS type, remote_port FROM tele),
+    born AS (SELECT proc, min(us) AS us FROM ev GROUP BY proc),
+    sweep AS (SELECT proc, min(us) AS us FROM (SELECT proc, us, count(DISTINCT remote_port) OVER (PARTITION BY proc ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n FROM ev WHERE type = 'NETWORK_CONNECT' AND remote_port > 0) AS q WHERE n >= 30 GROUP BY proc),
+    job AS (SELECT proc, min(us) AS us FROM ev WHERE type = 'FILE_MODIFY' AND proc IN (3, 4, 5, 9) GROUP BY proc)
+    SELECT 'port-sweep' AS rule, 'HIGH' AS severity, 'Many ports tried in a minute' AS title, us, concat('port-sweep|', proc) AS key FROM sweep
+    UNION ALL SELECT 'scheduler-child-writes-keys', 'CRITICAL', 'A scheduled job changed login keys', greatest(us, (SELECT us FROM born WHERE proc = 1), CASE WHEN proc = 9 THEN (SELECT us FROM born WHERE proc = 3) ELSE 0 END), concat('scheduler-child-writes-keys|1,', proc) FROM job"""

@@ -272,11 +272,6 @@ def rate_summary(spark, sf_dir):
 ORACLE_SQL["rate_summary"] = f"{_RATE} SELECT rule, min(us) + {5 * DAY} AS us, 'INFO' AS severity, concat('rule ', rule, ': ', count(*) - 20, ' additional findings suppressed') AS title FROM go GROUP BY rule, w HAVING count(*) > 20"
 
 
-@query()
-def shipped_patterns(spark, sf_dir):
-    return matcher.detect(shipped().patterns, processes(spark, sf_dir), tele(spark, sf_dir), _edges(spark, sf_dir), window_us=3 * DAY).select("rule", "severity", "title", "us", "key")
-
-
 def _snap(spark, sf_dir):
     return tele(spark, sf_dir).select(F.dayofyear("ts").alias("snap"), "proc")
 
