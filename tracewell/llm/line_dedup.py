@@ -189,9 +189,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def line_report(classes: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, n_lines (not blank), n_removed, removed (line numbers from 0, sorted)."""
-    gone = F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("no"))))
-    lines = F.count_distinct(F.when(F.col("line").isNotNull(), F.col("no")))
-    return classes.groupBy("doc_id", "text_hash").agg(lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
+    gone = F.sort_array(F.array_distinct(F.collect_list(F.when(F.col("removed"), F.col("no")))))
+    copies = F.count(F.when(F.col("no") == -1, 1))  # rows that repeat the id and the text have the same lines
+    found = classes.groupBy("doc_id", "text_hash").agg(copies.alias("copies"), F.count("line").alias("n"), gone.alias("removed"))
+    return found.select("doc_id", "text_hash", F.expr("n div copies").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def _rebuild(names: list[str], text_col: str, gone_col: str):
