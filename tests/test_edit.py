@@ -83,6 +83,15 @@ def test_log_reads_and_drops_days(spark, tmp_path):
     assert sorted(r["id"] for r in store.open_log(spark, path, "id long, ts timestamp_ntz, k long").collect()) == [i for i, ts, *_ in rows if ts >= day(6)]
 
 
+def test_drafted_exclusions():
+    process = {"exe": "/opt/tool/run", "cmdline": "run --fast x", "user": "www"}
+    assert dsl.draft_exclusion("r", process, {"exe": "prefix", "cmdline": "prefix", "name": "eq"}).match == {"exe": {"prefix": "/opt/tool/"}, "cmdline": {"prefix": "run "}}
+    assert dsl.draft_exclusion("r", {"exe": "run", "cmdline": "run"}, {"exe": "prefix", "cmdline": "contains"}).match == {"exe": {"prefix": "run"}, "cmdline": {"contains": "run"}}
+    for modes in ({"exe": "regex"}, {"nope": "eq"}, {"name": "eq"}):
+        with pytest.raises(PatternError):
+            dsl.draft_exclusion("r", process, modes)
+
+
 def test_defaults_by_source():
     assert matcher.default_tolerance("ebpf", "ebpf") == 250_000 and matcher.default_tolerance("poll", "ebpf") == matcher.default_tolerance("ebpf", "poll") == 3_000_000
     assert len(Q.shipped().patterns) == 4

@@ -230,3 +230,21 @@ ORACLE_SQL["shipped_patterns"] = f"""WITH {_VIEWS}, ev AS (SELECT proc % 10 AS p
     job AS (SELECT proc, min(us) AS us FROM ev WHERE type = 'FILE_MODIFY' AND proc IN (3, 4, 5, 9) GROUP BY proc)
     SELECT 'port-sweep' AS rule, 'HIGH' AS severity, 'Many ports tried in a minute' AS title, us, concat('port-sweep|', proc) AS key FROM sweep
     UNION ALL SELECT 'scheduler-child-writes-keys', 'CRITICAL', 'A scheduled job changed login keys', greatest(us, (SELECT us FROM born WHERE proc = 1), CASE WHEN proc = 9 THEN (SELECT us FROM born WHERE proc = 3) ELSE 0 END), concat('scheduler-child-writes-keys|1,', proc) FROM job"""
+
+
+_TRACKED = "tracked AS (SELECT pid, max(epoch_us(start)) AS start, max(epoch_us(start)) + 1000 AS seen, max(proc) % 7 = 0 AS pending FROM proc WHERE proc % 3 <> 0 GROUP BY pid), listed AS (SELECT proc % 60 AS pid, max(epoch_us(start)) AS start FROM proc WHERE proc % 2 = 0 GROUP BY 1), taken AS (SELECT max(epoch_us(start)) AS t FROM proc)"
+
+
+@query()
+def reconcile_margin(spark, sf_dir):
+    """Tracked processes against a listing: what is too young to tell is left alone."""
+    p = processes(spark, sf_dir).withColumn("us", matcher.micros(F.col("start")))
+    tracked = p.filter("proc % 3 != 0").groupBy("pid").agg(F.max("us").alias("start"), (F.max("us") + 1000).alias("seen"), (F.max("proc") % 7 == 0).alias("pending"))
+    listed = p.filter("proc % 2 = 0").groupBy((F.col("proc") % 60).alias("pid")).agg(F.max("us").alias("start"))
+    taken = p.agg(F.max("us")).first()[0]
+    return lifecycle.reconcile_listing(tracked, listed, taken, DAY // 8)
+
+
+ORACLE_SQL["reconcile_margin"] = f"""WITH {_VIEWS}, {_TRACKED}, gone AS (SELECT k.* FROM tracked k, taken WHERE NOT pending AND seen < t - {DAY // 8} AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.pid = k.pid AND l.start = k.start))
+    SELECT pid, start, t AS at, 'PROCESS_EXIT' AS event, true AS inferred, false AS reconciled FROM gone, taken
+    UNION ALL SELECT pid, start, start, 'PROCESS_START', false, true FROM listed, taken WHERE start < t - {DAY // 8} AND pid NOT IN (SELECT pid FROM tracked WHERE pid NOT IN (SELECT pid FROM gone))"""

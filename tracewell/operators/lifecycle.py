@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import FOREVER
@@ -94,6 +94,26 @@ def reconcile(tracked: DataFrame, listed: DataFrame, key: list[str]) -> DataFram
     return gone.unionByName(listed.join(tracked, key, "left_anti").select(*key, F.lit("PROCESS_START").alias("event")))
 
 
+def reconcile_listing(tracked: DataFrame, listed: DataFrame, taken_us: int | Column, margin_us: int = 2_000_000) -> DataFrame:
+    """(pid, start, at, event, inferred, reconciled) that repair what lost events left wrong, against a listing of processes
+    (pid, start, in microseconds) taken at ``taken_us``.
+
+    What was first seen (``seen``) or started within ``margin_us`` of the listing is left alone, as its events may not have been
+    read yet, and so is a fork that is still held back (``pending``) and what has the PID of a process that stays tracked. An
+    exit is as of the listing, a start as of its own time; an unknown start is passed over.
+    """
+    settled = (taken_us if isinstance(taken_us, Column) else F.lit(taken_us)) - margin_us
+    same = listed.select(F.col("pid").alias("_pid"), F.col("start").alias("_start"))
+    known = (F.coalesce("start", F.lit(0)) > 0) & (F.coalesce("_start", F.lit(0)) > 0)
+    alive = (F.col("pid") == F.col("_pid")) & (~known | (F.col("start") == F.col("_start")))
+    old = ~F.col("pending") & (F.col("seen") < settled)
+    gone = tracked.filter(old).join(same, alive, "left_anti")
+    stays = tracked.join(gone.select("pid"), "pid", "left_anti").select("pid")
+    found = listed.filter((F.col("start") > 0) & (F.col("start") < settled)).join(stays, "pid", "left_anti")
+    ended = gone.select("pid", "start", (settled + margin_us).alias("at"), F.lit("PROCESS_EXIT").alias("event"), F.lit(True).alias("inferred"), F.lit(False).alias("reconciled"))
+    return ended.unionByName(found.select("pid", "start", F.col("start").alias("at"), F.lit("PROCESS_START").alias("event"), F.lit(False).alias("inferred"), F.lit(True).alias("reconciled")))
+
+
 def inherit(starts: DataFrame, images: DataFrame) -> DataFrame:
     """Forked processes (proc, parent, at, and their own name, exe, cmdline, user) with the image that their parent had then.
 

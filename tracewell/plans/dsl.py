@@ -331,8 +331,28 @@ class Reloader:
         return False
 
 
-def draft_exclusion(rule: str, process: dict[str, str]) -> Exclusion:
-    """An exclusion for a finding's process: its executable and user, and the first word of its command line."""
+def draft_exclusion(rule: str, process: dict[str, str], modes: dict[str, str] | None = None) -> Exclusion:
+    """An exclusion for a finding's process: its executable and user, and the first word of its command line.
+
+    ``modes`` names the fields to go by instead, and how each is compared: ``eq`` and ``contains`` with the whole value, ``prefix``
+    with the folder of an executable, or a command without its arguments. Fields that the process doesn't have are left out.
+    """
+    if modes is not None:
+        chosen: dict[str, Any] = {}
+        for name, mode in modes.items():
+            if name not in PROCESS or mode not in ("eq", "prefix", "contains"):
+                raise PatternError(f'"{name}: {mode}" is not a way to exclude a process')
+            if not (value := process.get(name)):
+                continue
+            folder, _, _ = value.rpartition("/")
+            if mode == "prefix" and name == "exe" and folder:
+                value = folder + "/"
+            elif mode == "prefix" and name == "cmdline" and " " in value:
+                value = value.split(" ", 1)[0] + " "
+            chosen[name] = {mode: value}
+        if not chosen:
+            raise PatternError("nothing is known about the process to exclude it by")
+        return Exclusion([rule], chosen)
     match: dict[str, Any] = {k: {"eq": process[k]} for k in ("exe", "user") if process.get(k)}
     if not process.get("exe") and process.get("name"):
         match["name"] = {"eq": process["name"]}
