@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .operators import findings, graph, lifecycle, store
-from .plans import dsl, matcher
+from .plans import dsl, matcher, rules
 from .queries import _LOG, _VIEWS, DAY, ORACLE_SQL, _log, query, shipped
 from .sources.driver_tables import processes, tele
 
@@ -248,3 +248,14 @@ def reconcile_margin(spark, sf_dir):
 ORACLE_SQL["reconcile_margin"] = f"""WITH {_VIEWS}, {_TRACKED}, gone AS (SELECT k.* FROM tracked k, taken WHERE NOT pending AND seen < t - {DAY // 8} AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.pid = k.pid AND l.start = k.start))
     SELECT pid, start, t AS at, 'PROCESS_EXIT' AS event, true AS inferred, false AS reconciled FROM gone, taken
     UNION ALL SELECT pid, start, start, 'PROCESS_START', false, true FROM listed, taken WHERE start < t - {DAY // 8} AND pid NOT IN (SELECT pid FROM tracked WHERE pid NOT IN (SELECT pid FROM gone))"""
+
+
+@query("SELECT 'shell-of-server' AS rule, 'HIGH' AS severity, concat('sh below ', p.name) AS title, c.proc FROM edges e JOIN proc c ON c.proc = e.child JOIN proc p ON p.proc = e.parent WHERE c.name = 'sh' AND p.name IN ('nginx', 'node') UNION ALL SELECT 'busy', 'MEDIUM', 'busy', parent FROM edges GROUP BY parent HAVING count(*) >= 3")
+def process_rules(spark, sf_dir):
+    """Rules that are functions of the process tree."""
+
+    def shell(tree):
+        found = tree.filter((F.col("name") == "sh") & F.col("parent.name").isin("nginx", "node"))
+        return found.select("proc", F.lit("HIGH").alias("severity"), F.concat(F.lit("sh below "), F.col("parent.name")).alias("title"))
+
+    return rules.apply_rules(processes(spark, sf_dir), {"shell-of-server": shell, "busy": lambda tree: tree.filter("n_children >= 3")})
