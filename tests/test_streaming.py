@@ -8,6 +8,7 @@ import pytest
 
 from tracewell.operators import lifecycle
 from tracewell.plans import dsl, matcher
+from tracewell.sources import raw
 from tracewell.streaming import health, tracker
 from tracewell.streaming.live import LiveDetector, event_stream
 
@@ -189,6 +190,13 @@ def naive(records, seed, grace):
     return sorted(out)
 
 
+def test_raw_records_have_what_the_tracker_takes(spark):
+    rows = [("exec", 5, 1, 7, 9, "a-very-long-nam", "/bin/a-very-long-name", "x", "/bin/a-very-long-name", "root"), ("fork", 6, 5, 8, 8, "", "/bin/sh", None, None, None)]
+    got = raw.process_records(spark.createDataFrame(rows, raw.PROCESS_RECORDS))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [(f.name, f.dataType.simpleString()) for f in spark.createDataFrame([], tracker.RECORDS).schema]
+    assert [r["name"] for r in got.collect()] == ["a-very-long-name", "sh"]
+
+
 def test_kernel_records_become_process_events_in_a_stream(spark, tmp_path):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", tracker.PROVIDER)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import findings, graph, lifecycle, store
 from .plans import dsl, matcher, rules
 from .queries import _LOG, _VIEWS, DAY, ORACLE_SQL, _log, query, shipped
+from .sources import raw
 from .sources.driver_tables import processes, tele
 
 _TOP = "(SELECT max(epoch_us(ts)) FROM tele)"
@@ -259,3 +260,21 @@ def process_rules(spark, sf_dir):
         return found.select("proc", F.lit("HIGH").alias("severity"), F.concat(F.lit("sh below "), F.col("parent.name")).alias("title"))
 
     return rules.apply_rules(processes(spark, sf_dir), {"shell-of-server": shell, "busy": lambda tree: tree.filter("n_children >= 3")})
+
+
+@query("SELECT event_id AS snap, concat(k, '@', CASE WHEN k % 4 = 0 THEN 0 ELSE epoch_us(ts) END) AS proc, coalesce(exe, '') AS exe FROM tele")
+def snapshot_identity(spark, sf_dir):
+    """Processes of a snapshot by PID and start; some starts are unknown."""
+    start = F.when(F.col("k") % 8 == 0, F.lit(0)).when(F.col("k") % 4 == 0, F.lit(None)).otherwise(matcher.micros(F.col("ts")))
+    none = F.lit(None).cast("string")
+    snaps = tele(spark, sf_dir).select(F.col("event_id").alias("snap"), F.col("k").cast("int").alias("pid"), F.lit(1).alias("ppid"), F.timestamp_micros(start).alias("start"), none.alias("name"), "exe", none.alias("cmdline"), none.alias("user"))
+    return raw.snapshot_processes(snaps).select("snap", "proc", "exe")
+
+
+@query("SELECT proc, sum(CASE WHEN k % 3 <> 0 THEN k END)::BIGINT AS cpu, max(CASE WHEN k % 5 = 1 THEN k * 1024 END) AS rss, count(*) FILTER (k % 3 = 0) AS unreadable FROM tele GROUP BY proc")
+def resource_validity(spark, sf_dir):
+    """Usage that could not be read is missing, not 0."""
+    k = F.col("k")
+    samples = tele(spark, sf_dir).select("proc", F.struct(F.col("event_id").alias("snap"), F.col("proc").cast("int").alias("pid"), F.when(k % 3 == 0, 0.0).otherwise(k.cast("double")).alias("cpu_seconds"), F.when(k % 6 == 0, None).otherwise(k % 3 != 0).alias("cpu_valid"), (k * 1024).alias("rss_bytes"), (k % 5 == 1).alias("rss_valid")).alias("s"))
+    got = raw.resource_samples(samples.select("s.*"))
+    return got.groupBy(F.col("pid").cast("long").alias("proc")).agg(F.sum("cpu_seconds").cast("long").alias("cpu"), F.max("rss_bytes").alias("rss"), F.count_if(F.col("cpu_seconds").isNull()).alias("unreadable"))

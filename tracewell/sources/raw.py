@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import connect_result, connection_ms, dns_type, file_event_type, join_argv
+from ..functions.scalars import connect_result, connection_ms, dns_type, file_event_type, image_name, join_argv
 
 #: Kernel process records, snapshots of processes and of resource use, and captured packets.
 PROCESS_RECORDS = "kind string, pid int, ppid int, start long, at long, comm string, exe string, cmdline string, argv0 string, user string"
@@ -20,6 +20,29 @@ WINDOWS_ACTIONS = {1: "CREATE", 2: "DELETE", 3: "MODIFY", 4: "RENAME", 5: "RENAM
 ES_ACTIONS = {"create": "CREATE", "write": "MODIFY", "unlink": "DELETE", "rename": "RENAME"}
 
 
+def snapshot_processes(snapshots: DataFrame) -> DataFrame:
+    """(snap, proc, pid, ppid, start, name, exe, cmdline, user) of PROCESS_SNAPSHOTS: proc names a process by its PID and start in
+    microseconds, never by the PID alone; a start that isn't after 1970 is unknown, and missing texts are empty."""
+    us = F.when(F.unix_micros(F.col("start")) > 0, F.unix_micros(F.col("start")))
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "exe", "cmdline", "user")]
+    proc = F.concat_ws("@", F.col("pid").cast("string"), F.coalesce(us, F.lit(0)).cast("string"))
+    return snapshots.select("snap", proc.alias("proc"), "pid", "ppid", F.when(us.isNotNull(), F.col("start")).alias("start"), *text)
+
+
+def process_records(records: DataFrame, host: Column | None = None) -> DataFrame:
+    """PROCESS_RECORDS as the stream of kernel records that ``streaming.tracker`` takes: with host, ts and the image's name."""
+    return records.select(
+        (F.lit("") if host is None else host).alias("host"), "kind", F.col("pid").cast("long").alias("pid"), F.col("ppid").cast("long").alias("ppid"), "start", "at",
+        F.timestamp_micros("at").alias("ts"), image_name(F.col("comm"), F.col("argv0"), F.col("exe")).alias("name"), "exe", "cmdline", "user",
+    )
+
+
+def resource_samples(samples: DataFrame) -> DataFrame:
+    """(snap, pid, cpu_seconds, rss_bytes) of RESOURCE_SAMPLES: what could not be read is null, never 0."""
+    read = lambda value, valid: F.when(F.coalesce(F.col(valid), F.lit(False)), F.col(value)).alias(value)
+    return samples.select("snap", "pid", read("cpu_seconds", "cpu_valid"), read("rss_bytes", "rss_valid"))
+
+
 def proc_files(files: DataFrame, hz: int = 100, boot_ms: int = 0) -> DataFrame:
     """(pid, ppid, start_ms, name, exe, cmdline, user) of the texts under /proc; the user is the real uid, as text.
 
