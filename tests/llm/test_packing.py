@@ -112,3 +112,15 @@ def test_empty_table_and_repeats(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), WORDS).collect() == []
     rows = packing.pack(frame(spark, ["same text"] * 30, [4] * 30), WORDS).collect()
     assert len(rows) == 30 and len({r["sequence_id"] for r in rows}) == 1 and len({r["offset"] for r in rows}) == 30
+
+
+def test_pre_tokens_encoded_together_are_as_alone():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(WORDS)
+    ending = packing._ending(model)
+    words = sorted({w for k in range(1, packing.PLAIN) for w in packing._PARTS.findall(f"{chr(k)} a{chr(k)} {chr(k)}{chr(k)}'s".lower())} | {"i", "̇", "'", "''", "'s", "q" * 300} | {f"w{k}o{k}" for k in range(2 * packing.TOGETHER)})
+    want = [packing._raw(model.encode(w, add_special_tokens=False).ids) for w in words]
+    assert packing.encode_words(words, model, ending) == want
+    assert packing.encode_words(words, model, np.ones(len(ending), bool)) == want  # ends that can't be told apart
+    assert packing.encode_words(words, model, ending[:0]) == want and packing.encode_words([], model, ending) == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from ._util import CHUNK_BYTES, batch_of, stash
 
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+_tokenizers: dict[str, tuple[object, np.ndarray, dict[str, bytes]]] = {}
 #: Pre-tokens that a worker remembers with their ids before it starts anew.
 CACHED_WORDS = 300_000
+#: Pre-tokens that one text for the tokenizer holds.
+TOGETHER = 1000
 #: Pieces of one size class that are ranked together, about.
 GROUP = 100_000
 #: Texts of characters below this one are parted here; others, whose classes depend on the Unicode version, by the tokenizer.
@@ -38,6 +41,34 @@ def _raw(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _ending(model) -> np.ndarray:
+    """By id, whether it ends a pre-token: vocabularies with a suffix for that have it nowhere else. Empty if there is none."""
+    suffix = json.loads(model.to_str())["model"].get("end_of_word_suffix")
+    if not suffix:
+        return np.zeros(0, bool)
+    ids = np.array([k for word, k in model.get_vocab().items() if word.endswith(suffix)], np.int64)
+    return np.bincount(ids, minlength=model.get_vocab_size()) > 0
+
+
+def encode_words(words: list[str], model, ending: np.ndarray) -> list[bytes]:
+    """The ids of each pre-token. Many go to the tokenizer as one text, which parts them at the spaces between; where the ids
+    that end a word aren't as many as the words, each goes by itself."""
+    groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+    alone = lambda group: [_raw(enc.ids) for enc in model.encode_batch_fast(group, add_special_tokens=False)]
+    if not len(ending):
+        return alone(words)
+    out: list[bytes] = []
+    for group, enc in zip(groups, model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(enc.ids, "<u4")
+        to = (np.flatnonzero(ending[ids]) + 1) * 4
+        if len(to) != len(group) or to[-1] != 4 * len(ids):
+            out += alone(group)
+            continue
+        raw, ends = ids.tobytes(), to.tolist()
+        out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return out
+
+
 def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
     """Little-endian token ids of each text; null counts as empty.
 
@@ -47,8 +78,9 @@ def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
     from tokenizers import Tokenizer
 
     if tokenizer not in _tokenizers:
-        _tokenizers[tokenizer] = Tokenizer.from_file(tokenizer), {}
-    model, known = _tokenizers[tokenizer]
+        model = Tokenizer.from_file(tokenizer)
+        _tokenizers[tokenizer] = model, _ending(model), {}
+    model, ending, known = _tokenizers[tokenizer]
     out: list[bytes | None] = [None] * len(texts)
     for group in _groups(texts):
         split = {k: _PARTS.findall(unicodedata.normalize("NFC", texts[k]).lower()) for k in group if not _ODD.search(texts[k])}
@@ -60,7 +92,7 @@ def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
             known.clear()
             missing = distinct
         new = list(missing)
-        known.update((x, _raw(enc.ids)) for x, enc in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        known.update(zip(new, encode_words(new, model, ending), strict=True))
         for k in group:
             out[k] = b"".join(map(known.__getitem__, split[k])) if k in split else _raw(model.encode(texts[k], add_special_tokens=False).ids)
     return [x or b"" for x in out]
