@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -124,3 +126,12 @@ def test_pre_tokens_encoded_together_are_as_alone():
     assert packing.encode_words(words, model, ending) == want
     assert packing.encode_words(words, model, np.ones(len(ending), bool)) == want  # ends that can't be told apart
     assert packing.encode_words(words, model, ending[:0]) == want and packing.encode_words([], model, ending) == []
+
+
+def test_latin_texts_are_parted_like_others():
+    rng = random.Random(31)
+    signs = [chr(c) for c in range(256)] + list("aeé' ") * 30
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["'S it'll ÀÉ ½²³ µß", "a<|b", "x\x85y", "ǅ Ɓ", "é é"]
+    for t in texts:
+        assert packing.parts(t) == (None if packing._ODD.search(t) else packing._PARTS.findall(unicodedata.normalize("NFC", t).lower()))
+    assert sum(packing.parts(t) is not None for t in texts) > 1000

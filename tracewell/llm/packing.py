@@ -29,12 +29,25 @@ _RISING = "".join(chr(c) for c in range(PLAIN) if any(ord(x) >= PLAIN and x != "
 _ODD = re.compile(f"[\x1c-\x1f\x85{_RISING}{chr(PLAIN)}-\U0010ffff]|<\\|")
 
 
-def _class(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == kind)
+def _parting(below: int) -> re.Pattern[str]:
+    """The tokenizer's own parting of a lower-cased text of characters below this one; a combining dot is what a dotted
+    capital I leaves behind."""
+    letters, numbers = ("".join(re.escape(chr(c)) for c in range(below) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
 
 
-#: The tokenizer's own parting of a lower-cased text; a combining dot is what a dotted capital I leaves behind.
-_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
+_PARTS, _LATIN_PARTS = _parting(PLAIN), _parting(0x100)
+#: What ``_ODD`` finds in a text of Latin-1.
+_LATIN_ODD = (b"<|", *(bytes([c]) for c in range(256) if _ODD.match(chr(c))))
+
+
+def parts(text: str) -> list[str] | None:
+    """The pre-tokens of a text; None where the tokenizer has to part it. Latin-1 is its own normal form, also in small letters."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None if _ODD.search(text) else _PARTS.findall(unicodedata.normalize("NFC", text).lower())
+    return None if any(x in raw for x in _LATIN_ODD) else _LATIN_PARTS.findall(text.lower())
 
 
 def _raw(ids: list[int]) -> bytes:
@@ -83,7 +96,7 @@ def encode(texts: list[str | None], tokenizer: str) -> list[bytes]:
     model, ending, known = _tokenizers[tokenizer]
     out: list[bytes | None] = [None] * len(texts)
     for group in _groups(texts):
-        split = {k: _PARTS.findall(unicodedata.normalize("NFC", texts[k]).lower()) for k in group if not _ODD.search(texts[k])}
+        split = {k: words for k in group if (words := parts(texts[k])) is not None}
         distinct: set[str] = set()
         for words in split.values():
             distinct.update(words)
