@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.data import DOCS, awkward, frame
 from tracewell.llm import jaccard as J
-from tracewell.llm._graph import feature_counts, prefix_pairs, rare_features
+from tracewell.llm._graph import MARKS, feature_counts, marks, neighbour_pairs, prefix_pairs, rare_features, shared
 
 
 def shingles(text):
@@ -128,6 +128,47 @@ def test_prefix_pairs_hold_all_links_and_little_else(spark):
     assert want <= got and len(want) > 30 and len(got) < len(sets) * (len(sets) - 1) / 10
 
 
+def numbers(column):
+    own = [np.array(t.split(), np.uint64) for t in column.to_pylist()]
+    return np.repeat(np.arange(len(own)), [len(s) for s in own]), np.concatenate([np.zeros(0, np.uint64), *own])
+
+
+def test_groups_that_nearly_link_make_few_pairs(spark):
+    rng = random.Random(8)
+    base = rng.sample(range(10**6), 400)
+    sets = {k: set(base) - set(rng.sample(base, 75)) for k in range(120)}  # similarity about 0.7
+    sets |= {200 + k: set(base) - set(rng.sample(base, 20)) | {rng.randrange(10**6)} for k in range(20)}
+    texts = spark.createDataFrame([(k, " ".join(map(str, s))) for k, s in sets.items()], "node long, text string")
+    rare = rare_features(texts, numbers, J.SHARE).withColumn("component", F.col("node")).cache()
+    got = {(r["a"], r["b"]) for r in prefix_pairs(rare, J.SHARE).collect()}
+    want = {(a, b) for a in sets for b in sets if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(want) > 100 and want <= got and len(got) < len(sets) * (len(sets) - 1) / 16
+    # a member meets one other at most by key, and only across components
+    near = neighbour_pairs(rare, J.SHARE)
+    assert 0 < near.count() <= rare.count() and {(r["a"], r["b"]) for r in near.collect()} <= {(a, b) for a in sets for b in sets if b < a}
+    assert neighbour_pairs(rare.withColumn("component", F.lit(1)), J.SHARE).isEmpty()
+
+
+def test_parity_words_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        n = int(rng.choice([1, 3, 64, 500, 3000]))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, n // 2 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n + 1))).astype(np.uint64)]))
+        u, v = marks(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2)
+        assert len(u) == MARKS and sum(int(k).bit_count() for k in (u ^ v).view(np.uint64)) <= len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+
+
+def test_shared_keys_across_batches(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(-3000, 3000), rng.randrange(4)) for _ in range(9000)] + [(7, k % 50) for k in range(5000)] + [(10**6, 1)] * 4000
+    nodes = {}
+    for k, n in rows:
+        nodes.setdefault(k, set()).add(n)
+    got = shared(spark.createDataFrame(rows, "key long, node long").repartition(5))
+    assert sorted(map(tuple, got.collect())) == sorted((k, n) for k, s in nodes.items() if len(s) > 1 for n in s)
+
+
 def test_repeated_null_ids(spark):
     texts = ["one two three four five six seven eight nine ten eleven twelve"] * 30 + [f"a{i} " * 30 + "x y z w v" for i in range(20)] * 2
     got = J.jaccard_join(frame(spark, texts, [None] * len(texts)).repartition(3)).collect()

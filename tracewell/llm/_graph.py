@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._hash import mix
-from ._util import batch_of, chunks, stash
+from ._util import batch_of, chunks, many, stash
 
 #: Features are counted in so many cells by hash, a power of two: 8 MB of sums at any size of the input.
 CELL_BITS = 20
+#: Parity bits of a set, in words of 64.
+MARKS = 16
 #: (row, hash) of the distinct features of each text, rows ascending.
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -45,14 +47,28 @@ def components(links: DataFrame) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "id long, component long")
 
 
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and node; the last distinct one waits for the next batch."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    key = node = np.zeros(0, np.int64)
+    follows = False  # whether the row that waits has one of its key before it
+    for some in many(batches):
+        key, node = (np.concatenate([x, *(batch.column(c).to_numpy() for batch in some)]) for x, c in ((key, "key"), (node, "node")))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        same = np.concatenate([[follows], key[1:] == key[:-1]])
+        keep = same[:-1] | same[1:]
+        if keep.any():
+            yield batch_of(schema, key=key[:-1][keep], node=node[:-1][keep])
+        key, node, follows = key[-1:], node[-1:], bool(same[-1])
+    if follows:
+        yield batch_of(schema, key=key, node=node)
+
+
 def shared(rows: DataFrame) -> DataFrame:
     """The distinct (key, node) rows whose key has two nodes or more."""
-    w = Window.partitionBy("key").orderBy("node")
-    near = rows.withColumns({"before": F.lag("node").over(w), "after": F.lead("node").over(w), "least": F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    first = F.col("before").isNull() | (F.col("before") != F.col("node"))
-    # a key's first node counts if its largest differs; with repeats of the first, that shows at the last repeat
-    last = F.col("after").isNull() | (F.col("after") != F.col("node"))
-    return near.filter((first & (F.col("least") != F.col("node"))) | (last & (F.col("least") == F.col("node")) & F.col("after").isNotNull())).select("key", "node")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -107,8 +123,26 @@ def feature_counts(texts: DataFrame, features: Features) -> np.ndarray:
     return sums
 
 
+def marks(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, MARKS) words of parity bits of the sets: two sets differ in no more of them than they do in features."""
+    at = (mix(~h) >> np.uint64(32)).astype(np.int64) & (64 * MARKS - 1)
+    odd = (np.bincount(row * (64 * MARKS) + at, minlength=rows * 64 * MARKS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, -1), axis=1, bitorder="little").view(np.int64)
+
+
+MARKED = ", ".join(f"w{k} long" for k in range(MARKS))
+
+
+def may_link(x: str, y: str, n: str, m: str, share: tuple[int, int]) -> Column:
+    """Whether the parity bits of two sets of sizes ``n`` and ``m`` allow a Jaccard similarity of ``share``; ``x`` and ``y``
+    are the prefixes of their columns."""
+    num, den = share
+    differ = " + ".join(f"bit_count({x}{k} ^ {y}{k})" for k in range(MARKS))
+    return F.expr(f"({differ}) * {den + num} <= ({n} + {m}) * {den - num}")
+
+
 def rare_features(texts: DataFrame, features: Features, share: tuple[int, int]) -> DataFrame:
-    """(key, node, size, place, low): the features of a set that a prefix filter joins on, from (node, text).
+    """(key, node, size, place, low, parity words): the features of a set that a prefix filter joins on, from (node, text).
 
     All sets order their features alike, by the count of the feature's cell and then by the feature, so rare ones come first.
     Of two sets whose Jaccard similarity is ``share`` or more, the first common feature under any such order lies among the
@@ -120,9 +154,10 @@ def rare_features(texts: DataFrame, features: Features, share: tuple[int, int])
     shared_counts = texts.sparkSession.sparkContext.broadcast(feature_counts(texts, features))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("low", pa.bool_())])
+        schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("low", pa.bool_()), *((f"w{k}", pa.int64()) for k in range(MARKS))])
         for batch in chunks(batches):
             row, h = features(batch.column("text"))
+            odd = marks(row, h, batch.num_rows)
             sets = shared_counts.value[_cells(h)]
             order = np.lexsort((h, sets, row))
             row, h, sets = row[order], h[order], sets[order]
@@ -131,23 +166,38 @@ def rare_features(texts: DataFrame, features: Features, share: tuple[int, int])
             upto = lambda a, b: size - (size * a + b - 1) // b + 1  # noqa: B023, E731
             keep = (place <= upto(num, den)) & (sets > 1)
             low = (place <= upto(2 * num, num + den))[keep]
-            yield batch_of(schema, key=h[keep].view(np.int64), node=batch.column("node").take(pa.array(row[keep])), size=size[keep].astype(np.int32), place=place[keep].astype(np.int32), low=low)
+            yield batch_of(schema, key=h[keep].view(np.int64), node=batch.column("node").take(pa.array(row[keep])), size=size[keep].astype(np.int32), place=place[keep].astype(np.int32), low=low, **{f"w{k}": odd[row[keep], k] for k in range(MARKS)})
+
+    return texts.select("node", "text").mapInArrow(run, f"key long, node long, size int, place int, low boolean, {MARKED}")
 
-    return texts.select("node", "text").mapInArrow(run, "key long, node long, size int, place int, low boolean")
+
+def _bounds(share: tuple[int, int]) -> Column:
+    """What sizes n, m and places i, j of a common feature allow."""
+    num, den = share
+    return F.expr(f"n * {den} >= m * {num} and 1 + least(n - i, m - j) >= ((n + m) * {num} + {num + den - 1}) div {num + den}")
 
 
 def prefix_pairs(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b) of different components that may be linked, once: ``rare_features`` with components, joined under the bounds
-    that sizes and places set. A pair that is linked passes at its first common feature."""
-    num, den = share
-    x = members.filter("low").select("key", F.col("node").alias("x"), F.col("size").alias("n"), F.col("place").alias("i"), F.col("component").alias("c"))
-    y = members.select("key", F.col("node").alias("y"), F.col("size").alias("m"), F.col("place").alias("j"), F.col("component").alias("d"))
+    that sizes, places and parity bits set. A pair that is linked passes at its first common feature."""
+    side = lambda node, size, place, component, w: [F.col("node").alias(node), F.col("size").alias(size), F.col("place").alias(place), F.col("component").alias(component), *(F.col(f"w{k}").alias(f"{w}{k}") for k in range(MARKS))]
+    x = members.filter("low").select("key", *side("x", "n", "i", "c", "u"))
+    y = members.select("key", *side("y", "m", "j", "d", "v"))
     smaller = F.expr("n < m or (n = m and x < y)")
-    near = F.expr(f"n * {den} >= m * {num} and 1 + least(n - i, m - j) >= ((n + m) * {num} + {num + den - 1}) div {num + den}")
-    pairs = x.join(y, "key").filter(smaller & near & (F.col("c") != F.col("d")))
+    pairs = x.join(y, "key").filter(smaller & _bounds(share) & (F.col("c") != F.col("d")) & may_link("u", "v", "n", "m", share))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def neighbour_pairs(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b), once: of ``rare_features`` with components, each member and the one before it in its key by size that
+    ``prefix_pairs`` would join it with, where their components differ: no more pairs than members."""
+    w = Window.partitionBy("key").orderBy("size", "node").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("low"), F.struct("node", "size", "place", "component")), ignorenulls=True).over(w)
+    met = members.select("node", F.col("size").alias("m"), F.col("place").alias("j"), F.col("component").alias("d"), last.alias("x"))
+    met = met.select("node", "m", "j", "d", F.col("x.node").alias("x"), F.col("x.size").alias("n"), F.col("x.place").alias("i"), F.col("x.component").alias("c"))
+    return met.filter((F.col("c") != F.col("d")) & _bounds(share)).select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
+
+
 def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], texts: DataFrame, features: Features, share: tuple[int, int], small: int = 24) -> DataFrame:
     """The components of all verified pairs that share a key, without pairing off whole groups.
 
@@ -164,9 +214,7 @@ def link_all(members: DataFrame, verify: Callable[[DataFrame], DataFrame], texts
     large = rest.filter(F.col("size") > small).select("node").distinct()
     rare = stash(rare_features(texts.join(large, "node", "left_semi"), features, share), "rare", few=True)
     apart = lambda: rare.join(found, rare["node"] == found["id"], "left").withColumn("component", F.coalesce("component", "node")).drop("id")
-    mixed = Window.partitionBy("key")
-    stars_left = apart().withColumn("_low", F.min("component").over(mixed)).withColumn("_high", F.max("component").over(mixed)).filter("_low != _high")
-    pairs = cross_pairs(rest.filter(F.col("size") <= small)).unionByName(star_pairs(stars_left)).distinct()
+    pairs = cross_pairs(rest.filter(F.col("size") <= small)).unionByName(neighbour_pairs(apart(), share)).distinct()
     links = links.unionByName(stash(verify(pairs), "verified", few=True))
     found = components(links)
     last = stash(verify(prefix_pairs(apart(), share)), "verified", few=True)

@@ -11,9 +11,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy working set holds; a longer text is a set of its own.
 CHUNK_BYTES = 2 << 20
+#: Bits that tell which keys have a partner: at most 1 << (SIFT - 6) words go to every executor, at any size of the input.
+SIFT = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,6 +83,17 @@ def unused(df: DataFrame, n: int) -> list[str]:
     return [name for k in range(n + len(held)) if (name := f"helper{k}") not in held][:n]
 
 
+def sift(rows: DataFrame, key: str, wanted: DataFrame, other: str) -> DataFrame:
+    """The ``rows`` whose key has the bit of one of ``wanted``: all that have a partner there, and few others, so that a
+    join that follows need not move the rest."""
+    at, word, bits = unused(rows, 3)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIFT))
+    bit = wanted.select(place(other).alias(at)).select(F.expr(f"{at} div 64").alias(word), F.expr(f"shiftleft(1L, cast({at} % 64 as int))").alias(bits))
+    words = F.broadcast(bit.groupBy(word).agg(F.bit_or(bits).alias(bits)))
+    held = rows.withColumn(at, place(key)).withColumn(word, F.expr(f"{at} div 64")).join(words, word)
+    return held.filter(F.expr(f"(shiftrightunsigned({bits}, cast({at} % 64 as int)) & 1) = 1")).select(*rows.columns)
+
+
 def tidy() -> None:
     """Give what Arrow keeps for reuse back to the system at the end of a task: the worker serves other operators, too."""
     pa.default_memory_pool().release_unused()
@@ -97,6 +111,18 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def many(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of about ``rows`` rows together, and never of none."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield held
+            held = []
+    if any(x.num_rows for x in held):
+        yield held
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying each text; a null counts as empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")

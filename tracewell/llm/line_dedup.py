@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import link_all, shared
+from ._graph import MARKED, MARKS, link_all, marks, may_link, shared
 from ._hash import Rolling, mix
-from ._util import batch_of, chunks, discard, small_batches, stash, unused
+from ._util import batch_of, chunks, discard, sift, small_batches, stash, unused
 
 SHINGLE = 8
 #: Lines are alike from this Jaccard similarity of their shingle sets.
@@ -108,6 +108,15 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(schema, node=list(got), text=list(got.values()))
 
 
+def _mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with the size and the parity words of their hashed sets."""
+    schema = pa.schema([("node", pa.int64()), ("text", pa.string()), ("size", pa.int32()), *((f"w{k}", pa.int64()) for k in range(MARKS))])
+    for batch in chunks(batches):
+        row, h = _features(batch.column("text"))
+        odd = marks(row, h, batch.num_rows)
+        yield batch_of(schema, node=batch.column("node"), text=batch.column("text"), size=np.bincount(row, minlength=batch.num_rows).astype(np.int32), **{f"w{k}": odd[:, k] for k in range(MARKS)})
+
+
 def _hashed_sets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct values of a line's number above the upper bits of a shingle's hash, distinct shingles by line)."""
     line, h = shingle_hashes(texts)
@@ -127,8 +136,11 @@ def alike(xs: list[str], ys: list[str]) -> list[int]:
     common = np.bincount((both >> np.uint64(64 - bits)).astype(np.int64), minlength=len(xs))
     near = np.flatnonzero(common >= (ALIKE - 0.01) * (n + m - common))
     out = []
+    last, t = None, set()
     for k in near.tolist():
-        s, t = shingles(xs[k]), shingles(ys[k])
+        if ys[k] != last:  # pairs come by their second line
+            last, t = ys[k], shingles(ys[k])
+        s = shingles(xs[k])
         size = len(s & t)
         if size >= ALIKE * (len(s) + len(t) - size):
             out.append(k)
@@ -168,19 +180,20 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = stash(shared(docs.select("text").mapInArrow(_bands, "key long, node long")), "members")
     wanted = members.select("node").distinct()
     stands = seen.filter("line is not null").join(wanted, F.col("line") == F.col("node"), "left_semi").groupBy("line").agg(F.min("doc_id").alias("stand"))
-    stands = stands.groupBy("stand").agg(F.collect_list("line").alias("nodes"))  # at most the lines of one document
-    texts = docs.join(stands, docs["doc_id"].eqNullSafe(stands["stand"])).select("text", "nodes").mapInArrow(_texts, "node long, text string")
-    texts = stash(texts.dropDuplicates(["node"]), "texts")
+    stands = stash(stands.groupBy("stand").agg(F.collect_list("line").alias("nodes")), "stands", tiny=True)  # at most the lines of one document
+    texts = sift(docs, "doc_id", stands, "stand")
+    texts = texts.join(stands, texts["doc_id"].eqNullSafe(stands["stand"])).select("text", "nodes").mapInArrow(_texts, "node long, text string")
+    texts = stash(texts.dropDuplicates(["node"]).mapInArrow(_mark, f"node long, text string, size int, {MARKED}"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+        side = lambda x, n, w: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"), F.col("size").alias(n), *(F.col(f"w{k}").alias(f"{w}{k}") for k in range(MARKS)))
+        near = F.expr(f"least(n, m) * {SHARE[1]} >= greatest(n, m) * {SHARE[0]}") & may_link("u", "v", "n", "m", SHARE)
+        return pairs.join(side("a", "n", "u"), "a").join(side("b", "m", "v"), "b").filter(near).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
     found = link_all(members, verify, texts, _features, SHARE)
     classed = seen.join(found, seen["line"] == found["id"], "left").select("doc_id", "text_hash", "no", "line", F.coalesce("component", "line").alias("component"))
     classed = stash(classed, "classes")
-    discard(members, texts, seen)
+    discard(members, stands, texts, seen)
     kept = classed.filter("line is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "no")).alias("first"), F.count(F.lit(1)).alias("size"))
     judged = classed.join(kept.filter("size > 1").select("component", "first"), "component", "left")
     removed = F.col("first").isNotNull() & ~F.struct("doc_id", "text_hash", "no").eqNullSafe(F.col("first"))
