@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm.data import DOCS, awkward, frame
 from tracewell.llm import jaccard as J
 from tracewell.llm._graph import MARKS, feature_counts, marks, neighbour_pairs, prefix_pairs, rare_features, shared
+from tracewell.llm._util import sift
 
 
 def shingles(text):
@@ -179,3 +180,13 @@ def test_odd_tables(spark):
     assert J.jaccard_join(spark.createDataFrame([], DOCS)).collect() == []
     got = J.jaccard_join(frame(spark, ["a b", "A  b", None, "", "a b"], [3, 3, 7, 8, None])).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(3, 1, 3), (3, 1, 3), (7, 0, 7), (8, 0, 8), (None, 1, 3)], key=str)
+
+
+def test_sifted_rows_hold_all_partners_and_little_else(spark):
+    rows = spark.range(-5000, 15000).selectExpr("if(id = 0, null, id) as k", "id as helper0")
+    wanted = spark.range(-50, 250).selectExpr("if(id = 0, null, id * 3) as w")
+    got = sift(rows, "k", wanted, "w")
+    assert got.columns == ["k", "helper0"]
+    keys, want = [r["k"] for r in got.collect()], [r["w"] for r in wanted.collect()]
+    assert len(keys) == len(set(keys)) < 320 and set(want) <= set(keys)
+    assert sift(rows, "k", wanted.filter("w > 10000"), "w").isEmpty()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._graph import link_all, shared
 from ._hash import Rolling, lower_ascii, mix, ngram, word_spans
-from ._util import batch_of, chunks, discard, flat, small_batches, stash
+from ._util import batch_of, chunks, discard, flat, sift, small_batches, stash
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[0x20] = _INSIDE[0x09:0x0E] = False
@@ -196,7 +196,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("stand"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
     one = stash(one, "nodes")
     stands = one.select("node", F.col("stand.doc_id").alias("of"), F.col("stand.text_hash").alias("of_hash"))
-    texts = hashed.join(stands, hashed["text_hash"].eqNullSafe(stands["of_hash"]) & hashed["doc_id"].eqNullSafe(stands["of"])).select("node", "text")
+    texts = sift(hashed, "text_hash", stands, "of_hash")
+    texts = texts.join(stands, texts["text_hash"].eqNullSafe(stands["of_hash"]) & texts["doc_id"].eqNullSafe(stands["of"])).select("node", "text")
     texts = stash(texts.dropDuplicates(["node"]), "texts")
 
     def sides(pairs: DataFrame, of: DataFrame) -> DataFrame:
